@@ -1,2 +1,21 @@
-QUERIES: dict = {}
+"""Queries of the operators that learn from the corpus: 5 and 10."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketlens.llm import toxicity
+from marketlens.llm.common import remainder, table
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(remainder() != 0)
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model, keep_text=False)
+    return out.select("doc_id", (remainder() == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat_format, license_scan, sentencepiece_codec
+from marketlens.llm import chat_format, decontaminate, license_scan, sentencepiece_codec
 from marketlens.llm.common import table
 
 #: Code points in a streamed delta of the derived log.
@@ -82,7 +82,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_digest(turns.unionByName(extra))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op7_sentencepiece": op7_sentencepiece, "op8_chat_format": op8_chat_format}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it leaks a benchmark item, and which."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return out.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), F.size("leaked_items").cast("long").alias("n_items"), F.col("leaked_items").alias("item_ids"), F.col("leaked_share").alias("share"))
+
+
+QUERIES = {"op9_decontaminate": op9_decontaminate, "op1_license_scan": op1_license_scan, "op7_sentencepiece": op7_sentencepiece, "op8_chat_format": op8_chat_format}
 
 _OP8_SQL = r"""
 with said as (
