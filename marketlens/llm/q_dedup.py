@@ -1,2 +1,23 @@
-QUERIES: dict = {}
+"""Queries of the operators that compare rows with each other: 2, 3, 4, 6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketlens.llm import line_dedup
+from marketlens.llm.common import table
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with lines: how many aren't blank, how many stay, and which (counted from 0) go."""
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.groupBy(F.col("doc").alias("doc_id"), "body").agg(
+        F.count("*").alias("n_lines"),
+        F.sum(F.col("kept").cast("long")).alias("n_kept"),
+        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("at")))).alias("dropped"),
+    ).drop("body")
+
+
+QUERIES = {"op3_line_dedup": op3_line_dedup}
 ORACLES: dict[str, str] = {}
