@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps what is read several times in memory, else on disk; what a lost executor held is made anew from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def remainder(doc_id: str = "doc_id", of: int = 5) -> Column:
     """crc32(doc_id as text) mod ``of``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(of)

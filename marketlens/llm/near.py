@@ -13,15 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import cut
+from marketlens.llm.common import cut, hold
 from marketlens.llm.components import components
 
 Verify = Callable[[DataFrame], DataFrame]
 Prepare = Callable[[DataFrame], Verify]
 
 
-def classes(buckets: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
-    """(id, component) of all ids that are linked to another, from buckets (key, id, size, times).
+def classes(buckets: DataFrame, facts: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
+    """(id, component) of all ids that are linked to another, from buckets (key, id) and facts (id, size, times).
 
     ``prepare`` takes the ids (id) that share a bucket, so that what is compared is fetched once, and gives a function
     that takes distinct pairs (a, b) and returns those that are linked. ``size`` is a count of the things compared:
@@ -29,7 +29,9 @@ def classes(buckets: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
     """
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     live = cut(buckets.join(shared, "key"))
-    verify = prepare(live.select("id").distinct())
+    ids = hold(live.select("id").distinct())
+    verify = prepare(ids)
+    live = hold(live.join(facts, "id"))
     reps = live.groupBy("key").agg(F.max(F.struct("times", "id", "size")).alias("rep"))
     star = live.join(reps, "key").where((F.col("id") != F.col("rep.id")) & _close("size", "rep.size", ratio))
     star = cut(star.select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct())
@@ -37,7 +39,7 @@ def classes(buckets: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
     comp = components(linked)
     named = live.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "size", "c")
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = cut(named.join(mixed, "key"))
+    rest = hold(named.join(mixed, "key"))
     x, y = rest.alias("x"), rest.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _close("x.size", "y.size", ratio))
     cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
