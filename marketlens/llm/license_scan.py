@@ -1,6 +1,6 @@
 r"""Licence scan by ordered signature rules, with DataFrame functions only and no shuffle.
 
-A text is lower-cased (A-Z) and reduced to its words, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, with one space between them.
+A text is lower-cased and reduced to its words, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, with one space between them.
 Several hundred regex rules (``license_rules``) apply to it, each only where its keyword occurs. A match is a span of
 words. Suppression: a span inside one of a better priority, or inside a longer one of the same priority, is dropped
 (of equal spans the rule that comes first in order stays). Kept spans give labels; the score is the best kept rule's
@@ -13,6 +13,8 @@ Empty and null texts have no words, no labels and score 0. Rows are never joined
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,22 @@ BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all
 #: Score of a kept detection by its rule's priority.
 WEIGHT: dict[int, float] = {1: 1.0, 2: 0.95, 3: 0.85, 4: 0.7, 5: 0.5}
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The gate of most rules: what any match of them holds, beside their keyword.
+COMMON = "licen"
 
 
 def words_text(text: Column) -> Column:
-    """The words of ``text``, lower-cased, with one space between them."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), NOT_WORD, " "))
+    """The words of ``text``, lower-cased, with one space between them. Letters beyond A-Z are lower-cased too: no letter
+    of a phrase or rule comes of one (the Kelvin sign alone turns into an ASCII letter, k), and words stay words."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+
+
+def gate(rule: Rule) -> str:
+    """A substring that any match of the rule holds and that few texts do: ``COMMON`` if it stands outside all groups."""
+    plain, shorter = "", rule.pattern
+    while plain != shorter:
+        plain, shorter = shorter, re.sub(r"\(\?:[^()]*\)[?*]?", "", shorter)
+    return COMMON if COMMON in plain else rule.keyword
 
 
 def _count_words(c: Column) -> Column:
@@ -90,8 +102,12 @@ def scan(df: DataFrame, text: str = "text", signatures: tuple[Rule, ...] | None
     """``df`` with n_words, base_counts (map), base_first, base_last, detections (array of label, rule, priority,
     start, end: kept spans of words, end included), labels (sorted, distinct) and score."""
     signatures = rules() if signatures is None else signatures
-    table = F.array(*(F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(_bounded(r.pattern)).alias("pattern")) for i, r in enumerate(signatures)))
-    gate = "|".join(sorted({r.keyword for r in signatures}))
+    fields = lambda i, r: F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(_bounded(r.pattern)).alias("pattern"))
+    by_gate: dict[str, list[Column]] = {}
+    for i, r in enumerate(signatures):
+        by_gate.setdefault(gate(r), []).append(fields(i, r))
+    # a text is searched for each gate once; only behind a gate that it holds are the rules' own keywords looked for
+    tables = F.array(*(F.struct(F.lit(g).alias("gate"), F.array(*rs).alias("rules")) for g, rs in by_gate.items()))
     out = df.withColumn("_words", words_text(F.col(text)))
     w = F.col("_words")
     base = _bounded("|".join(BASE))
@@ -100,10 +116,10 @@ def scan(df: DataFrame, text: str = "text", signatures: tuple[Rule, ...] | None
     out = out.withColumn("_hits", F.when(has_base, F.regexp_extract_all(w, F.lit(base), F.lit(0))))
     n_base = F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits"))
     all_before = F.char_length(w) - F.char_length(F.element_at("_cuts", -1)) - F.char_length(F.element_at("_hits", -1))
-    tried = F.filter(table, lambda r: F.contains(w, r["keyword"]))
+    opened = F.flatten(F.transform(F.filter(tables, lambda t: F.contains(w, t["gate"])), lambda t: t["rules"]))
+    tried = F.filter(opened, lambda r: F.contains(w, r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: _spans(w, r, r["pattern"])))
-    kind = "array<struct<start:int,minus_end:int,priority:int,rank:int,label:string,rule:string>>"
-    out = out.withColumn("_kept", F.when(w.rlike(gate), _kept(found)).otherwise(F.array().cast(kind)))
+    out = out.withColumn("_kept", _kept(found))
     return out.select(
         *df.columns,
         _count_words(w).cast("long").alias("n_words"),
