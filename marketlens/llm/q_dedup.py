@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import line_dedup
+from marketlens.llm import line_dedup, order_minhash, projection_dedup
 from marketlens.llm.common import table
 
 
@@ -19,5 +19,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("body")
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup}
+def op4_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the least doc_id of its class of near copies, and whether it is the one that stays."""
+    out = order_minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), "class_id", "kept")
+
+
+QUERIES = {"op4_projection_dedup": op4_projection_dedup, "op6_order_minhash": op6_order_minhash, "op3_line_dedup": op3_line_dedup}
 ORACLES: dict[str, str] = {}
