@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import line_dedup, order_minhash, projection_dedup
+from marketlens.llm import bwt_dedup, line_dedup, order_minhash, projection_dedup
 from marketlens.llm.common import table
 
 
+def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with lines: how many aren't blank, how many stay, and which (counted from 0) go."""
     found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -29,5 +34,5 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "class_id", "kept")
 
 
-QUERIES = {"op4_projection_dedup": op4_projection_dedup, "op6_order_minhash": op6_order_minhash, "op3_line_dedup": op3_line_dedup}
+QUERIES = {"op2_bwt_dedup": op2_bwt_dedup, "op4_projection_dedup": op4_projection_dedup, "op6_order_minhash": op6_order_minhash, "op3_line_dedup": op3_line_dedup}
 ORACLES: dict[str, str] = {}
