@@ -7,7 +7,7 @@ import importlib
 from marketlens import registry
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("operators.market", "operators.lifecycle")
 
 
 def _load() -> None:
