@@ -7,7 +7,7 @@ import importlib
 from marketlens import registry
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("operators.market", "operators.lifecycle")
+MODULES: tuple[str, ...] = ("operators.market", "operators.lifecycle", "operators.risk")
 
 
 def _load() -> None:
