@@ -7,7 +7,9 @@ import importlib
 from marketlens import registry
 
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("operators.market", "operators.lifecycle", "operators.risk")
+MODULES: tuple[str, ...] = (
+    "operators.market", "operators.lifecycle", "operators.risk", "operators.quality", "operators.scoring", "operators.linkage", "operators.search", "streaming.events",
+)
 
 
 def _load() -> None:
