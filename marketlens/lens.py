@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The day that stands for "today": the last order date of the tables. Never read from a clock.
@@ -22,6 +22,10 @@ MONEY = "decimal(20,2)"
 PRECISE = "decimal(20,4)"
 
 
+def today() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
 @dataclass(frozen=True)
 class Lens:
     """Canonical DataFrames over one folder of test tables. Each scan reads the columns it needs."""

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.lens import AS_OF, MONEY, Lens, sql
+from marketlens.lens import MONEY, Lens, sql, today
 from marketlens.registry import query
 
-TODAY = F.lit(AS_OF).cast("date")
 
 
 def ends(lens: Lens) -> DataFrame:
@@ -25,7 +24,7 @@ ENDS = "ends as (select e.*, x.end_date from eligible e left join (select act_id
 def incumbent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of the latest contract of a buyer and market that is still running and not cancelled."""
     lens = Lens(spark, sf_dir)
-    running = ends(lens).where((F.col("status") != "P") & (F.col("end_date").isNull() | (F.col("end_date") >= TODAY)))
+    running = ends(lens).where((F.col("status") != "P") & (F.col("end_date").isNull() | (F.col("end_date") >= today())))
     rows = running.join(lens.primary.select("act_id", "cpv_prefix"), "act_id").join(lens.suppliers, "act_id")
     w = Window.partitionBy("buyer_id", "cpv_prefix").orderBy(F.desc("event_date"), F.desc("act_id"), F.desc("amount"), "supplier_id")
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("buyer_id", "cpv_prefix", F.col("supplier_id").alias("incumbent_supplier_id"), F.col("act_id").alias("most_recent_active_contract"), "end_date", F.lit(0.91).alias("confidence"))
@@ -96,7 +95,7 @@ RENEWALS = """renewals as (
 def renewals(lens: Lens) -> DataFrame:
     """Contracts that end within their buyer's usual lead time (90 days where none is known)."""
     lead = cycle_times(lens).groupBy("buyer_id").agg(F.avg("contract_to_first_payment_days").alias("lead"))
-    left = F.datediff("end_date", TODAY)
+    left = F.datediff("end_date", today())
     return ends(lens).where("end_date is not null").join(lead, "buyer_id", "left").select("act_id", "process_id", "buyer_id", "end_date", left.alias("days_to_end"), F.round("lead", 4).alias("avg_lead_time_days"), left.between(F.lit(0), F.coalesce("lead", F.lit(90.0))).alias("renewal_watch_active"))
 
 
@@ -182,7 +181,7 @@ def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's contracts in a market read as a framework with its call-offs: use, status and relevance."""
     lens = Lens(spark, sf_dir)
     g = ends(lens).join(lens.suppliers, "act_id").join(lens.primary.select("act_id", "cpv_prefix"), "act_id").groupBy("supplier_id", "cpv_prefix").agg(F.count("*").alias("call_offs"), F.sum("amount").cast("decimal(30,4)").alias("spend"), F.max("end_date").alias("ends_on"))
-    left = F.datediff("ends_on", TODAY)
+    left = F.datediff("ends_on", today())
     status = F.when(left < 0, "EXPIRED").when(left <= 30, "REOPENING").when(left.isNull(), "UNKNOWN").otherwise("ACTIVE")
     cycle = F.when(left < 0, 0.0).when(left <= 30, 1.0).otherwise(0.7)
     score = 100 * (0.65 * 1.0 + 0.2 * cycle + 0.15 * F.least(F.lit(1.0), F.col("spend").cast("double") / 5000000))
@@ -194,8 +193,8 @@ def frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pre_tender_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts that end within a year, and open requests of two years without any progress."""
     lens = Lens(spark, sf_dir)
-    left = F.datediff("end_date", TODAY)
-    ending = ends(lens).where(left.between(0, 365)).select("act_id", F.lit("CONTRACT_ENDING").alias("kind"), F.lit(0.76).alias("confidence"), F.greatest(TODAY, F.date_sub("end_date", 120)).alias("expected_on"))
-    age = F.datediff(TODAY, F.col("event_date"))
+    left = F.datediff("end_date", today())
+    ending = ends(lens).where(left.between(0, 365)).select("act_id", F.lit("CONTRACT_ENDING").alias("kind"), F.lit(0.76).alias("confidence"), F.greatest(today(), F.date_sub("end_date", 120)).alias("expected_on"))
+    age = F.datediff(today(), F.col("event_date"))
     open_ = lens.eligible.where((F.col("status") == "O") & age.between(0, 730)).join(payments(lens).select("act_id"), "act_id", "left_anti")
     return ending.unionByName(open_.select("act_id", F.lit("REQUEST_OPEN").alias("kind"), F.when(age <= 180, 0.9).otherwise(0.82).alias("confidence"), F.date_add("event_date", 90).alias("expected_on")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import set_similarity, trigrams
-from marketlens.lens import Lens, sql
+from marketlens.lens import Lens, sql, today
 from marketlens.operators import lifecycle, market
 from marketlens.registry import query
 
@@ -96,7 +96,7 @@ _R06 = _sql("UNUSUAL_DELAY", "cast(act_id as varchar)", "contract_to_first_payme
 def inactive_supplier(lens: Lens) -> DataFrame:
     """Running contracts whose supplier's balance is below zero (read as an inactive registry status)."""
     bad = lens.table("supplier", "s_suppkey", "s_acctbal").where("s_acctbal < 0")
-    run = lifecycle.ends(lens).where(F.col("end_date") >= lifecycle.TODAY).join(lens.suppliers, "act_id").join(bad, F.col("supplier_id") == F.col("s_suppkey"))
+    run = lifecycle.ends(lens).where(F.col("end_date") >= today()).join(lens.suppliers, "act_id").join(bad, F.col("supplier_id") == F.col("s_suppkey"))
     g = run.groupBy("supplier_id").agg(F.countDistinct("act_id").alias("n"))
     return _row(g, "COMPANY_INACTIVE", ["supplier_id"], F.col("n"), 1, F.col("n"))
 
@@ -173,7 +173,7 @@ def missing_links(lens: Lens, grace: int = 14) -> DataFrame:
     sup = lens.suppliers.groupBy("act_id").agg(F.count("*").alias("awards"))
     p = lens.acts.join(pays, "act_id", "left").join(sup, "act_id", "left").na.fill(0, ["payments", "awards"])
     rules = F.array(F.when(F.col("awards") == 0, "AWARD"), F.when((F.col("status") == "F") & (F.col("payments") == 0), "PAYMENT"), F.when((F.col("payments") > 0) & (F.col("status") == "O"), "CONTRACT"))
-    out = p.withColumn("missing", F.array_compact(rules)).where((F.size("missing") > 0) & (F.datediff(lifecycle.TODAY, F.col("event_date")) >= grace)).withColumn("what", F.array_join("missing", ","))
+    out = p.withColumn("missing", F.array_compact(rules)).where((F.size("missing") > 0) & (F.datediff(today(), F.col("event_date")) >= grace)).withColumn("what", F.array_join("missing", ","))
     return _row(out, "MISSING_EXPECTED_LINKED_ACTS", ["act_id", "what"], F.size("missing"), 0, F.col("payments") + F.col("awards"))
 
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.text import trigram_similarity
-from marketlens.lens import AS_OF, Lens, sql
+from marketlens.lens import Lens, sql, today
 from marketlens.registry import query
 
-TODAY = F.lit(AS_OF).cast("date")
 
 #: Alert rules as rows: id, code prefix, place prefix, keyword, least and greatest amount (null amounts fail closed).
 RULES = (
@@ -85,7 +84,7 @@ def opportunity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lens = Lens(spark, sf_dir)
     n = lens.eligible.groupBy("buyer_id").agg(F.count("*").alias("n"))
     k = lens.suppliers.groupBy("act_id").agg(F.count("*").alias("k"))
-    c = contexts(lens).where(F.col("status").isin("O", "P")).join(n, "buyer_id").join(k, "act_id", "left").withColumn("age", F.datediff(TODAY, F.col("event_date")))
+    c = contexts(lens).where(F.col("status").isin("O", "P")).join(n, "buyer_id").join(k, "act_id", "left").withColumn("age", F.datediff(today(), F.col("event_date")))
     c = c.crossJoin(F.broadcast(rule_frame(spark)))
     v = F.col("amount_net").cast("double")
     code = F.when(F.col("code").isNull(), 50.0).when(F.col("cpv_code").startswith(F.col("code")), 100.0).otherwise(0.0)
