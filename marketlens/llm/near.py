@@ -1,6 +1,8 @@
 """From buckets of candidates to classes, without all pairs of a bucket.
 
-Members of a bucket are first compared with its most frequent member alone, and linked pairs are united. Only buckets
+Members of a bucket are first compared with one of them alone, and linked pairs are united. In a large bucket that is the
+member whose marks (minima of its hashes) agree with the most common mark at most places: the text that the others are
+copies of; in a small one the member that occurs most often. Only buckets
 whose members still stand in different classes are looked at again, and there only pairs across classes: a pair within a
 class could not change any class. So a bucket of thousands of near copies costs one comparison a member, and no pair
 that could join two classes is left out.
@@ -16,23 +18,28 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import cut, hold
 from marketlens.llm.components import components
 
+#: Members of a bucket from which on marks are counted.
+LARGE = 32
+
 Verify = Callable[[DataFrame], DataFrame]
 Prepare = Callable[[DataFrame], Verify]
 
 
 def classes(buckets: DataFrame, facts: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
-    """(id, component) of all ids that are linked to another, from buckets (key, id) and facts (id, size, times).
+    """(id, component) of all ids that are linked to another, from buckets (key, id) and facts (id, size, times, marks).
 
     ``prepare`` takes the ids (id) that share a bucket, so that what is compared is fetched once, and gives a function
     that takes distinct pairs (a, b) and returns those that are linked. ``size`` is a count of the things compared:
-    pairs whose sizes are further apart than ``ratio`` can't be alike. ``times`` is how often the id's text occurs.
+    pairs whose sizes are further apart than ``ratio`` can't be alike. ``times`` is how often the id's text occurs, ``marks`` an array of
+    as many minima for each id.
     """
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     live = cut(buckets.join(shared, "key"))
     ids = hold(live.select("id").distinct())
     verify = prepare(ids)
     live = hold(live.join(facts, "id"))
-    reps = live.groupBy("key").agg(F.max(F.struct("times", "id", "size")).alias("rep"))
+    reps = _middles(live).groupBy("key").agg(F.max(F.struct("agree", "times", "id", "size")).alias("rep"))
+    live = live.drop("marks")
     star = live.join(reps, "key").where((F.col("id") != F.col("rep.id")) & _close("size", "rep.size", ratio))
     star = cut(star.select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct())
     linked = cut(verify(star))
@@ -47,5 +54,15 @@ def classes(buckets: DataFrame, facts: DataFrame, prepare: Prepare, ratio: float
     return components(linked.select("a", "b").unionByName(more.select("a", "b"))) if more.limit(1).count() else comp
 
 
+def _middles(live: DataFrame) -> DataFrame:
+    """``live`` with ``agree``: at how many places a member of a large bucket has the bucket's most common mark; 0 in others.
+    Marks are counted by (bucket, place, mark), so a bucket of any size is summed up before it meets one task."""
+    large = live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("key")
+    each = hold(live.join(large, "key").select("key", "id", F.posexplode("marks").alias("place", "mark")))
+    common = each.groupBy("key", "place", "mark").agg(F.count("*").alias("n")).groupBy("key", "place").agg(F.max(F.struct("n", "mark"))["mark"].alias("mark"))
+    agree = each.join(common, ["key", "place", "mark"]).groupBy("key", "id").agg(F.count("*").alias("agree"))
+    return live.join(agree, ["key", "id"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
+
+
 def _close(a: str, b: str, ratio: float):
     return (F.col(a) >= ratio * F.col(b)) & (F.col(b) >= ratio * F.col(a))
