@@ -55,12 +55,18 @@ def _planes(turn: int, dim: int) -> np.ndarray:
     return np.random.default_rng([turn, dim]).standard_normal((dim, SIGNS))
 
 
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The vectors of an Arrow column as views of its values."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _keys(passes: int):
     weights = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(2).to_pylist()
+            rows = _rows(b.column(2))
             dims = np.asarray([len(r) for r in rows])
             for dim in sorted(set(dims.tolist())):
                 at = np.flatnonzero(dims == dim)
@@ -116,7 +122,8 @@ def _sweep(window: int, threshold: float):
             }, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seam", pa.int64()), ("nth", pa.int64()), ("run", pa.string()), ("x", pa.list_(pa.float64()))]))
 
         for b in batches:
-            got = [((t, d, g), r, x) for t, d, g, r, x in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("turn", "dim", "label", "rid", "x")), strict=True)]
+            of = lambda c, b=b: b.column(b.schema.names.index(c))
+            got = [((t, d, g), r, x) for t, d, g, r, x in zip(*(of(c).to_pylist() for c in ("turn", "dim", "label", "rid")), _rows(of("x")), strict=True)]
             if len(head) < window:
                 head += got[: window - len(head)]
             for lo in range(0, len(got), 256):
@@ -133,7 +140,7 @@ def _sweep(window: int, threshold: float):
 def _seam(window: int, threshold: float):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("nth")
-        ids, runs, x = t["a"].to_pylist(), t["run"].to_pylist(), t["x"].to_pylist()
+        ids, runs, x = t["a"].to_pylist(), t["run"].to_pylist(), [v for c in t["x"].chunks for v in _rows(c)]
         out = []
         for r in sorted(set(runs)):
             at = [i for i, k in enumerate(runs) if k == r]
@@ -158,8 +165,8 @@ def _count(threshold: float):
     """Links of the rows to be counted (side 0) with a block of members (side 1): (rid, links)."""
 
     def run(t: pa.Table) -> pa.Table:
-        side, rid, core = (np.asarray(t[c].to_pylist()) for c in ("side", "rid", "core"))
-        x = np.asarray(t["x"].to_pylist())
+        side, rid, core = (t[c].to_numpy() for c in ("side", "rid", "core"))
+        x = np.asarray([v for c in t["x"].chunks for v in _rows(c)])
         one, all_ = side == 0, side == 1
         hit = (x[one] @ x[all_].T >= threshold) & (rid[one][:, None] != rid[all_][None, :])
         mine, theirs = hit.sum(1), (hit & core[all_][None, :]).sum(0)
