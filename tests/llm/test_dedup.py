@@ -117,6 +117,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_lines_of_few_words_are_compared(spark):
+    """Near copies of few words, without spaces, and of repeated characters."""
+    wide = "".join(chr(0x4E00 + 7 * i) for i in range(300))
+    pairs = [("Read more about our internationalisation programme", "Read more about our internationalisation programmes"), (wide, wide[:150] + "x" + wide[151:]), ("😀" * 30 + "a", "😀" * 300 + "a"), ("ab", "ac")]
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    out = {r.doc: r.kept for r in line_dedup.duplicate_lines(table(spark, rows)).collect()}
+    assert [out[i] for i in range(8)] == [True, False, True, False, True, False, True, True]
+
+
 def test_near_documents_equal_brute_force(spark):
     base = " ".join(f"word{i}" for i in range(300))
     near = [base, base.replace("word150", "other"), base.replace("word20 ", "x ").replace("word200", "y"), " ".join(reversed(base.split())), base + " tail" * 3, "a b c", "a b c", "", None, "...", "...", base]
