@@ -16,7 +16,7 @@ def op2_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document with lines: how many aren't blank, how many stay, and which (counted from 0) go."""
-    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = line_dedup.duplicate_lines(table(spark, sf_dir, "documents", "doc_id", "text"), similarity=line_dedup.SIMILARITY)
     return found.groupBy(F.col("doc").alias("doc_id"), "body").agg(
         F.count("*").alias("n_lines"),
         F.sum(F.col("kept").cast("long")).alias("n_kept"),

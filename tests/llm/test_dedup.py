@@ -126,6 +126,36 @@ def test_lines_of_few_words_are_compared(spark):
     assert [out[i] for i in range(8)] == [True, False, True, False, True, False, True, True]
 
 
+def test_like_lines_equal_brute_force_at_similarity(spark):
+    """Lines about as alike as SIMILARITY, on both sides of it: every pair that reaches it is found, and no other."""
+    r = random.Random(11)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    rows, want = [], {}
+    for i in range(400):
+        n = r.randrange(60, 200)
+        a = r.sample(letters, n)
+        at = r.randrange(10, n - 10)
+        b = a[:at] + r.sample("abcdefghijklmnopqrstuvwxyz", r.randrange(1, 14)) + a[at:]
+        x, y = ({"".join(t[k : k + 9]) for k in range(len(t) - 8)} for t in (a, b))
+        rows += [(2 * i, "".join(a)), (2 * i + 1, "".join(b))]
+        want[2 * i + 1] = 5 * len(x & y) < 4 * len(x | y)
+    out = {x.doc: x.kept for x in line_dedup.duplicate_lines(table(spark, rows), similarity=line_dedup.SIMILARITY).collect()}
+    assert 50 < sum(want.values()) < 350
+    assert {i: k for i, k in out.items() if i % 2} == want and all(out[i] for i in range(0, 800, 2))
+
+
+def test_line_queries_keep_lines_under_their_similarity(spark, tmp_path):
+    import corpus_pipeline
+    from marketlens.llm import q_dedup
+
+    a = "".join(chr(0x4E00 + i) for i in range(88))  # 80 shingles, 9 of them changed by one letter: 71 of 89 are common
+    rows = [(1, a), (2, a[:40] + "x" + a[41:]), (3, a[:-1] + "x")]
+    table(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_kept for r in q_dedup.op3_line_dedup(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 0}
+    left = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in left.collect()} == {1, 2}
+
+
 def test_near_documents_equal_brute_force(spark):
     base = " ".join(f"word{i}" for i in range(300))
     near = [base, base.replace("word150", "other"), base.replace("word20 ", "x ").replace("word200", "y"), " ".join(reversed(base.split())), base + " tail" * 3, "a b c", "a b c", "", None, "...", "...", base]
