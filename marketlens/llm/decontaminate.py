@@ -4,7 +4,9 @@ A seed is the hash of the words that a fixed mask keeps of a short run; words un
 seeds of the benchmark items meet all seeds of all texts; each hit names a diagonal (a place in the text less a place in
 the item), along which the words are compared one by one. A text leaks an item if on a diagonal some ``window`` words in
 a row (or the whole item, if it is shorter) agree in a share of ``similarity`` at least; below ``exact_below`` words all
-must agree. Substituted words are thus tolerated, in seeds as in the check; inserted ones start another diagonal.
+must agree. Masks are made from the rules so that a leak always has a seed: the shortest run that may hold as many wrong
+words is cut into pieces, and for every choice of that many pieces a mask keeps the words of all others, so wherever the
+wrong words stand, some mask keeps none of them. Substituted words are thus tolerated, in seeds as in the check; inserted ones start another diagonal.
 
 The texts are read once for each block of the benchmark: items are dealt into blocks of about ``block_chars`` characters,
 and a block (its words and seeds) is all that is broadcast. No text is shuffled.
@@ -16,6 +18,9 @@ with the same text share their fate; an item without words is never found; an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
@@ -27,9 +32,10 @@ from pyspark.sql import types as T
 from marketlens.llm import tokens
 from marketlens.llm.common import chunks, short_batches
 
-#: Kept (1) and ignored (0) words of a run. Their spans and weights differ, so that ends of passages and evenly spread
-#: substitutions are met as well.
-MASKS: tuple[str, ...] = ("111111", "1010101011", "11011011011", "11101110111", "11110111101")
+#: Masks of kept (1) and ignored (0) words are made for a run at most, where its pieces allow it.
+MOST_MASKS = 12
+#: Words of a run that a seed keeps where all must agree.
+RUN = 6
 
 
 class Rules(NamedTuple):
@@ -42,10 +48,20 @@ class Rules(NamedTuple):
         return n if n < self.exact_below else int(np.ceil(self.similarity * n - 1e-9))
 
 
-def _mask_for(n: int) -> list[str]:
-    """The masks that fit ``n`` words; for very short items the run of all words."""
-    fit = [m for m in MASKS if len(m) <= n]
-    return fit or ["1" * n]
+@lru_cache(maxsize=256)
+def _masks_for(n: int, rules: Rules) -> tuple[str, ...]:
+    """Masks of which one at least keeps right words only, however the words that may be wrong lie in an item of ``n`` words."""
+    n = min(rules.window, n)
+    wrong = n - rules.needed(n)
+    if not wrong:
+        return ("1" * min(n, RUN),)
+    n = min(k for k in range(rules.exact_below, n + 1) if k - rules.needed(k) == wrong)
+    pieces = max(k for k in range(wrong + 1, n + 1) if k == wrong + 1 or comb(k, wrong) <= MOST_MASKS)
+    ends = [n * k // pieces for k in range(pieces + 1)]
+    masks = set()
+    for out in combinations(range(pieces), wrong):
+        masks.add("".join(("0" if k in out else "1") * (ends[k + 1] - ends[k]) for k in range(pieces)).strip("0"))
+    return tuple(sorted(masks))
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -53,7 +69,7 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc = np.full(n, len(mask) * 64 + mask.count("1"), np.uint64)
+    acc = np.full(n, int(mask, 2) % (1 << 64), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
             acc *= np.uint64(0x9FB21C651E98DF25)
@@ -65,7 +81,7 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
 class Block:
     """Words and seeds of some benchmark items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[list[int], bytes]]):
+    def __init__(self, items: list[tuple[list[int], bytes]], rules: Rules):
         self.ids = [i for i, _ in items]
         words, begins = tokens.words([t for _, t in items]) if items else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.words, self.begins = words, begins
@@ -73,7 +89,7 @@ class Block:
         self.masks: set[str] = set()
         for i in range(len(items)):
             w = words[begins[i] : begins[i + 1]]
-            for m in _mask_for(len(w)) if len(w) else []:
+            for m in _masks_for(len(w), rules) if len(w) else []:
                 self.masks.add(m)
                 s = _seeds(w, m)
                 key.append(s)
@@ -122,7 +138,7 @@ class Block:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int, rules: Rules) -> Iterator[Block]:
     """The benchmark in blocks of a bounded size; items of one text are one."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).where("t <> ''")
     items = items.groupBy("t").agg(F.array_sort(F.collect_set("i")).alias("ids"))
@@ -130,7 +146,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) ->
     n = -(-total // block_chars)
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b).orderBy("t").collect()
-        yield Block([(r.ids, r.t.encode()) for r in rows])
+        yield Block([(r.ids, r.t.encode()) for r in rows], rules)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules | None = None, block_chars: int = 4_000_000) -> DataFrame:
@@ -140,7 +156,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     out = df.select(*names).withColumn("leaked_items", F.array().cast("array<bigint>")).withColumn("leaked_share", F.lit(0.0))
     schema = T.StructType([*df.select(*names).schema.fields, T.StructField("leaked_items", T.ArrayType(T.LongType())), T.StructField("leaked_share", T.DoubleType())])
     spark = df.sparkSession
-    for block in _blocks(benchmark, item_id, item_text, block_chars):
+    for block in _blocks(benchmark, item_id, item_text, block_chars, rules):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

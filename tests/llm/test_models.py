@@ -64,6 +64,28 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("rules", [decontaminate.Rules(), decontaminate.Rules(window=11, similarity=0.7, exact_below=8)])
+def test_every_placement_of_allowed_substitutions_is_found(rules):
+    from itertools import combinations
+
+    from marketlens.llm import tokens
+
+    for n in range(4, 16):
+        item = [f"w{k}" for k in range(n)]
+        block = decontaminate.Block([([1], " ".join(item).encode())], rules)
+        shown = min(n, rules.window)
+        allowed = shown - rules.needed(shown)
+        for first in {0, n - shown}:
+            for wrong in range(allowed + 2):
+                texts = []
+                for places in combinations(range(shown), wrong):
+                    said = ["x" if k in places else w for k, w in enumerate(item[first : first + shown])]
+                    texts.append(" ".join(["before", *said, "after"]).encode())
+                words, begins = tokens.words(texts)
+                found = block.leaks(words, begins, rules)
+                assert len(found) == (len(texts) if wrong <= allowed else 0), (n, first, wrong)
+
+
 def test_toxicity_of_unseen_texts(spark):
     r = random.Random(4)
     some = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(40))
