@@ -3,7 +3,8 @@
 ``fit`` learns from labelled rows in three folds, dealt by a hash of doc_id: the first gives a lexicon (words and word
 beginnings that stand in far more toxic than clean texts), the second the trees, the third the calibration. It takes
 ``max_rows`` labelled rows at most, by hash, which bounds what it gathers; the lexicon has ``LEXICON`` entries at most.
-Near copies count once in the lexicon, as a text of many copies would make its words look telling.
+Texts of the same words count once in the lexicon, as a text of many copies would make its words look telling; all others
+count each.
 
 Features of a text (``FEATURES``): densities and weights of lexicon words, how many of them stand near a word of the
 second person, shares of capitals, marks and obfuscated spellings, and its length. Labels, language, source and doc_id are
@@ -133,17 +134,17 @@ def _fold(doc_id: str = "doc_id") -> Column:
 
 
 def learn_lexicon(rows: DataFrame, most: int = LEXICON, odds: float = 2.5, sure: float = 3.5) -> dict[str, float]:
-    """Entry to log-odds, from rows (text, toxic). Rows with the same least word hash (copies and near copies) count once."""
-    schema = "least long, toxic int, words array<string>"
+    """Entry to log-odds, from rows (text, toxic). Rows with the same set of words (copies) count once."""
+    schema = "said long, toxic int, words array<string>"
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [sorted(set(split_words(x or ""))) for x in b.column(0).to_pylist()]
-            least = [min((int.from_bytes(_short_hash(w), "little", signed=True) for w in ws), default=0) for ws in words]
-            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["least", "toxic", "words"])
+            said = [int.from_bytes(_short_hash(" ".join(ws)), "little", signed=True) for ws in words]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.int64()), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["said", "toxic", "words"])
 
     docs = short_batches(rows).select("text", F.col("toxic").cast("int")).mapInArrow(distinct, schema)
-    one = docs.groupBy("least", "toxic").agg(F.min("words").alias("words")).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    one = docs.groupBy("said", "toxic").agg(F.min("words").alias("words")).withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
     one = cut(one)
     total = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)

@@ -104,6 +104,13 @@ def test_toxicity_of_unseen_texts(spark):
     assert {r.toxicity for r in toxicity.score(odd, none).collect()} == {0.0}
 
 
+def test_lexicon_learns_from_texts_that_share_a_word(spark):
+    least = min((f"w{k}" for k in range(20_000)), key=lambda w: int.from_bytes(toxicity._short_hash(w), "little", signed=True))
+    rows = [(f"{least} calm{i} kind", 0) for i in range(200)] + [(f"{least} rude{i} fool", 1) for i in range(200)] + [(f"{least} copied text", 1)] * 40
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "fool" in lexicon and not {"copied", "text", least} & set(lexicon)
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sizes = [docs.count()]
