@@ -43,21 +43,53 @@ def ship(spark: SparkSession) -> None:
 def short_batches(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Readies the session for Python tasks: they get this package, and Arrow batches short enough for long texts."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf = df.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:  # set once; a session that asks for shorter ones keeps them
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors and the driver see.
 
-    A folder is set here only where the session has none, as in tests.
+    Only a session on one machine, as in tests, gets a folder of its own where none is named; elsewhere that is an error.
     """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _folders:
+        _folders[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return _folders[sc.applicationId]
+
+
+_folders: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those asked for that ``df`` doesn't have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        k = 0
+        while f"_{name}{k or ''}".lower() in taken:
+            k += 1
+        taken.add(f"_{name}{k or ''}".lower())
+        out.append(f"_{name}{k or ''}")
+    return out
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keeps what is read several times in memory, else on disk; what a lost executor held is made anew from its lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

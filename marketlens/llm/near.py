@@ -1,68 +1,70 @@
-"""From buckets of candidates to classes, without all pairs of a bucket.
+"""From banded signatures to classes, with pairs of members and representatives only.
 
-Members of a bucket are first compared with one of them alone, and linked pairs are united. In a large bucket that is the
-member whose marks (minima of its hashes) agree with the most common mark at most places: the text that the others are
-copies of; in a small one the member that occurs most often. Only buckets
-whose members still stand in different classes are looked at again, and there only pairs across classes: a pair within a
-class could not change any class. So a bucket of thousands of near copies costs one comparison a member, and no pair
-that could join two classes is left out.
+A bucket holds the texts that share a band. Texts are compared in turns, and what was linked counts as one class from then on:
+
+1. Each member of a bucket is compared with the bucket's representative, the text that occurs most often (the text that
+   the others are copies of, where there is one). A bucket of thousands of near copies costs one comparison a member.
+2. In buckets whose members still stand in different classes, members are put in order of another band and each is
+   compared with those of the ``NEIGHBOURS`` before it that are of another class. Buckets of up to ``NEIGHBOURS`` + 1
+   members are so compared whole; in larger ones texts that also agree in the other band stand side by side. This is
+   repeated with the next band as order until a turn links nothing new or all bands have been the order.
+
+So work is linear in the members of buckets, however large a bucket is. Two alike texts are missed only if they share no
+band, or if in each band they share they are neither linked through other texts nor neighbours in any turn; tests measure
+what is found against all pairs, in small and large buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import cut, hold
 from marketlens.llm.components import components
 
-#: Members of a bucket from which on marks are counted.
-LARGE = 32
+NEIGHBOURS = 7
 
 Verify = Callable[[DataFrame], DataFrame]
 Prepare = Callable[[DataFrame], Verify]
 
 
-def classes(buckets: DataFrame, facts: DataFrame, prepare: Prepare, ratio: float) -> DataFrame:
-    """(id, component) of all ids that are linked to another, from buckets (key, id) and facts (id, size, times, marks).
+def classes(facts: DataFrame, prepare: Prepare, bands: int) -> DataFrame:
+    """(id, component) of all ids that are linked to another, from facts (id, times, keys): one row for each distinct text
+    with how often it occurs and the keys of its ``bands`` bands.
 
     ``prepare`` takes the ids (id) that share a bucket, so that what is compared is fetched once, and gives a function
-    that takes distinct pairs (a, b) and returns those that are linked. ``size`` is a count of the things compared:
-    pairs whose sizes are further apart than ``ratio`` can't be alike. ``times`` is how often the id's text occurs, ``marks`` an array of
-    as many minima for each id.
+    that takes distinct pairs (a, b) and returns those that are linked.
     """
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    live = cut(buckets.join(shared, "key"))
-    ids = hold(live.select("id").distinct())
+    keyed = facts.select("id", "times", F.posexplode("keys").alias("band", "key"))
+    inside = Window.partitionBy("key").orderBy(F.desc("times"), "id")
+    rep = F.first("id").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shared = keyed.select("key", "band", "id", rep.alias("rep"), F.lead("id").over(inside).alias("after"))
+    live = cut(shared.where("id <> rep or after is not null").select("key", "band", "id", "rep"))
+    ids = live.select("id").distinct()
     verify = prepare(ids)
-    live = hold(live.join(facts, "id"))
-    reps = _middles(live).groupBy("key").agg(F.max(F.struct("agree", "times", "id", "size")).alias("rep"))
-    live = live.drop("marks")
-    star = live.join(reps, "key").where((F.col("id") != F.col("rep.id")) & _close("size", "rep.size", ratio))
-    star = cut(star.select(F.least("id", "rep.id").alias("a"), F.greatest("id", "rep.id").alias("b")).distinct())
-    linked = cut(verify(star))
+    known = hold(facts.join(ids, "id", "left_semi").select("id", "keys"))
+    done = cut(_pairs(live.where("id <> rep"), "id", "rep"))
+    linked = cut(verify(done))
     comp = components(linked)
-    named = live.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "size", "c")
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = hold(named.join(mixed, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _close("x.size", "y.size", ratio))
-    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verify(cut(cross)))
-    return components(linked.select("a", "b").unionByName(more.select("a", "b"))) if more.limit(1).count() else comp
-
-
-def _middles(live: DataFrame) -> DataFrame:
-    """``live`` with ``agree``: at how many places a member of a large bucket has the bucket's most common mark; 0 in others.
-    Marks are counted by (bucket, place, mark), so a bucket of any size is summed up before it meets one task."""
-    large = live.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("key")
-    each = hold(live.join(large, "key").select("key", "id", F.posexplode("marks").alias("place", "mark")))
-    common = each.groupBy("key", "place", "mark").agg(F.count("*").alias("n")).groupBy("key", "place").agg(F.max(F.struct("n", "mark"))["mark"].alias("mark"))
-    agree = each.join(common, ["key", "place", "mark"]).groupBy("key", "id").agg(F.count("*").alias("agree"))
-    return live.join(agree, ["key", "id"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
+    for turn in range(1, bands):
+        named = live.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        order = F.element_at("keys", F.pmod(F.col("band") + turn, F.lit(bands)).cast("int") + 1)
+        rest = named.join(mixed, "key", "left_semi").join(known, "id").select("key", "id", "c", order.alias("other"))
+        side = Window.partitionBy("key").orderBy("other", "id")
+        before = F.array(*(F.lag(F.struct("id", "c"), k).over(side) for k in range(1, NEIGHBOURS + 1)))
+        near = rest.select("id", "c", before.alias("before")).select("id", "c", F.explode("before").alias("x")).where("x.c <> c")
+        fresh = cut(_pairs(near.select("id", F.col("x.id").alias("rep")), "id", "rep").join(done, ["a", "b"], "left_anti"))
+        more = cut(verify(fresh))
+        if not more.limit(1).count():
+            break
+        done, linked = done.unionByName(fresh), linked.unionByName(more)
+        comp = components(linked)
+    known.unpersist()
+    return comp
 
 
-def _close(a: str, b: str, ratio: float):
-    return (F.col(a) >= ratio * F.col(b)) & (F.col(b) >= ratio * F.col(a))
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()

@@ -12,6 +12,9 @@ _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += np.uint64(0x20)
 
+_P = np.uint64((1 << 31) - 1)
+_Q = 1_327_217_885
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -26,6 +29,20 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["b"][:n], _powers["i"][:n]
 
 
+def _prime_pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime 2**31 - 1."""
+    if len(_powers.get("p", ())) < n:
+        for key, base in (("p", _Q), ("q", pow(_Q, -1, int(_P)))):
+            p = np.ones(max(n, 1 << 21), np.uint64)
+            k = 1
+            while k < len(p):
+                to = min(2 * k, len(p))
+                p[k:to] = p[: to - k] * np.uint64(pow(base, k, int(_P))) % _P
+                k = to
+            _powers[key] = p
+    return _powers["p"][:n], _powers["q"][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -38,12 +55,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; values are small numbers above 0."""
-    b, inv = _pow(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
+    """A 64-bit hash of values[start:end] for each pair; values are small numbers above 0.
+
+    Two polynomials are mixed: one modulo 2**64, and one modulo a prime, as the first alone can't tell some periodic
+    sequences apart. Spans of one call are at most 2**31 values long.
+    """
+    n = len(values)
+    b, inv = _pow(n + 1)
+    sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(values * b[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values * b[:n], out=sums[1:])
+    one = (sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)
+    p, q = _prime_pow(n + 1)
+    np.cumsum(values * p[:n] % _P, out=sums[1:])
+    two = (sums[ends] - sums[starts]) % _P * q[starts] % _P
+    return mix(one ^ mix(two))
 
 
 def words(texts: list[bytes], segment: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
