@@ -1,10 +1,12 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Each pass gives every vector the signs of 62 random projections as one number and sorts vectors of a label by it, most
-significant sign first. In that order each vector is compared with its ``window`` predecessors; pairs with a cosine of at
-least ``threshold`` are united over all passes. The number of passes follows from the largest label: with n vectors, two
-at the threshold stand within the window if their first log2(n / window) signs agree, and passes go on until that has
-happened with probability ``recall``.
+significant sign first. Vectors are taken relative to their label's mean before they are projected, so that signs also split
+vectors that share a direction. In that order each vector is compared with its ``window`` predecessors; pairs with a cosine
+of at least ``threshold`` are united over all passes. A first round of passes follows from the largest label: with n vectors,
+two at the threshold stand within the window if their first log2(n / window) signs agree, and there are passes until that has
+happened with probability ``recall``. As signs may split a label less evenly than that, rounds of half as many passes go on
+until one joins no more components.
 
 Links are then counted within each component exactly, also those that no window met: members within half the threshold's
 angle of the component's mean are all linked to each other (by the triangle inequality), so a dense group of any size
@@ -33,15 +35,46 @@ SIGNS = 62
 BLOCK = 1024
 
 
-def _unit(df: DataFrame, vector: str) -> DataFrame:
-    """Adds ``x``: the vector at length 1 in double precision, or null if it can't link. Scaled by its largest component
-    first, so that no square over- or underflows."""
-    v = F.col(vector).cast("array<double>")
-    top = F.array_max(F.transform(v, F.abs))
-    fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & (top > 0)
-    scaled = F.transform(v, lambda c: c / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, c: a + c * c))
-    return df.withColumn("_s", F.when(fine, scaled)).withColumn("_n", F.when(fine, norm)).withColumn("x", F.transform("_s", lambda c: c / F.col("_n"))).drop("_s", "_n")
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vector at length 1 in double precision, or null if it can't link. Scaled by its largest component first, so that
+    no square over- or underflows."""
+    for b in batches:
+        out: list[np.ndarray | None] = []
+        column = b.column(3).cast(pa.list_(pa.float64()))
+        whole, values, at = column.is_valid().to_pylist(), column.values, column.offsets.to_numpy()
+        holes, x = values.is_null().to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False)
+        for k, ok in enumerate(whole):
+            v = x[at[k] : at[k + 1]]
+            top = np.abs(v).max() if ok and len(v) else 0.0
+            if not ok or not len(v) or holes[at[k] : at[k + 1]].any() or not np.isfinite(v).all() or top == 0:
+                out.append(None)
+                continue
+            v = v / top
+            out.append(v / np.sqrt(v @ v))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.float64()))], names=["rid", "vec_id", "label", "x"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, n, total) of a task's vectors (label, x)."""
+    total: dict[tuple[str, int], list] = {}
+    for b in batches:
+        for g, v in zip(b.column(0).to_pylist(), _rows(b.column(1)), strict=True):
+            at = total.setdefault((g, len(v)), [0, np.zeros(len(v))])
+            at[0] += 1
+            at[1] += v
+    if total:
+        yield pa.RecordBatch.from_pydict({"label": [k[0] for k in total], "dim": [k[1] for k in total], "n": [v[0] for v in total.values()], "total": [v[1] for v in total.values()]}, schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]))
+
+
+def _mean(t: pa.Table) -> pa.Table:
+    v = np.sum([v for c in t["total"].chunks for v in _rows(c)], axis=0) / sum(t["n"].to_pylist())
+    return pa.table({"label": t["label"][:1], "dim": t["dim"][:1], "mean": pa.array([v], pa.list_(pa.float64()))})
+
+
+def label_means(vectors: DataFrame) -> DataFrame:
+    """(label, dim, mean) of vectors (rid, label, x), summed up within tasks first."""
+    sums = vectors.select("label", "x").mapInArrow(_sums, "label string, dim int, n long, total array<double>")
+    return sums.groupBy("label", "dim").applyInArrow(_mean, "label string, dim int, mean array<double>")
 
 
 def passes_for(n: int, window: int, threshold: float, recall: float) -> int:
@@ -61,20 +94,20 @@ def _rows(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _keys(passes: int):
+def _keys(first: int, to: int):
     weights = (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _rows(b.column(2))
+            rows, means = _rows(b.column(2)), _rows(b.column(3))
             dims = np.asarray([len(r) for r in rows])
             for dim in sorted(set(dims.tolist())):
                 at = np.flatnonzero(dims == dim)
-                x = np.asarray([rows[i] for i in at])
+                x = np.asarray([rows[i] - means[i] for i in at])
                 part = b.take(pa.array(at))
-                for turn in range(passes):
+                for turn in range(first, to):
                     key = ((x @ _planes(turn, dim)) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), turn, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), *part.columns], names=["turn", "dim", "key", "rid", "label", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), turn, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), *part.columns[:3]], names=["turn", "dim", "key", "rid", "label", "x"])
 
     return run
 
@@ -150,15 +183,31 @@ def _seam(window: int, threshold: float):
     return run
 
 
-def linked_pairs(vectors: DataFrame, window: int, threshold: float, recall: float) -> DataFrame:
-    """(a, b): pairs of ``rid`` that span what the passes find among vectors (rid, label, x)."""
-    ship(vectors.sparkSession)
-    biggest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    keyed = vectors.mapInArrow(_keys(passes_for(biggest, window, threshold, recall)), "turn int, dim int, key long, rid long, label string, x array<double>")
+def linked_pairs(vectors: DataFrame, first: int, to: int, window: int, threshold: float) -> DataFrame:
+    """(a, b): pairs of ``rid`` that span what passes ``first`` to ``to`` find among vectors (rid, label, x, mean)."""
+    keyed = vectors.select("rid", "label", "x", "mean").mapInArrow(_keys(first, to), "turn int, dim int, key long, rid long, label string, x array<double>")
     order = ["turn", "label", "dim", "key", "rid"]
     swept = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep(window, threshold), "a long, b long, seam long, nth long, run string, x array<double>"))
     seams = swept.where("seam is not null").groupBy("seam").applyInArrow(_seam(window, threshold), "a long, b long")
-    return swept.where("seam is null").select("a", "b").unionByName(seams)
+    return swept.where("seam is null").select("a", "b").unionByName(seams).distinct()
+
+
+def linked_components(vectors: DataFrame, window: int, threshold: float, recall: float) -> DataFrame:
+    """(id, component) of all vectors (rid, label, x) that some pass links to another."""
+    biggest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    means = label_means(vectors)
+    near = cut(vectors.withColumn("dim", F.size("x")).join(means, ["label", "dim"]))
+    done, to = 0, passes_for(biggest, window, threshold, recall)
+    comp, joined = None, 0
+    while True:
+        pairs = linked_pairs(near, done, to, window, threshold)
+        if comp is not None:
+            pairs = pairs.unionByName(comp.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        comp = components(pairs)
+        now = comp.where("id <> component").count()
+        if done and now == joined:
+            return comp
+        done, to, joined = to, to + max(3, -(-to // 2)) if not done else to + (to - done), now
 
 
 def _count(threshold: float):
@@ -177,10 +226,11 @@ def _count(threshold: float):
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding", threshold: float = 0.93, window: int = 64, recall: float = 0.99) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``df``."""
-    rows = _unit(df.select(F.monotonically_increasing_id().alias("rid"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("_v")), "_v")
-    rows = cut(rows.select("rid", "vec_id", "label", "x"))
+    ship(df.sparkSession)
+    plain = df.select(F.monotonically_increasing_id().alias("rid"), F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    rows = cut(plain.mapInArrow(_unit, "rid long, vec_id long, label string, x array<double>"))
     fine = rows.where("x is not null and label is not null").select("rid", "label", "x")
-    comp = components(linked_pairs(fine, window, threshold, recall)).withColumnRenamed("id", "rid")
+    comp = linked_components(fine, window, threshold, recall).withColumnRenamed("id", "rid")
     members = cut(fine.select("rid", "x").join(comp, "rid"))
     at = F.posexplode("x").alias("k", "c")
     mean = members.select("component", at).groupBy("component", "k").agg(F.sum("c").alias("c"))

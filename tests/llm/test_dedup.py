@@ -327,3 +327,30 @@ def test_vectors_equal_brute_force(spark):
         assert got[i].n_links <= n[i] and (got[i].kept == (got[i].vec_id == got[i].component_id))
     assert [got[i].n_links for i in (400, 401, 402, 403, 404, 407)] == [0] * 6 and got[405].n_links >= 2
     assert projection_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_that_share_a_direction(spark):
+    """Crowded vectors, all at a cosine of about 0.8 to each other, with planted pairs just above the threshold."""
+    r = np.random.default_rng(7)
+    common = r.standard_normal(32)
+    x = 2.0 * common + r.standard_normal((3000, 32))
+    x[1500:] = x[:1500]
+    x[1500:] += 0.55 * r.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q.n_links for q in projection_dedup.near_vectors(df, window=32).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.95 * want.sum() > 0
+
+
+def test_unit_length_takes_time_in_proportion(spark):
+    import time
+
+    spent = {}
+    for dim in (64, 256):
+        df = spark.range(2000).select(F.col("id").alias("vec_id"), F.lit(None).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: i * 1.5 + F.col("id")).alias("embedding")).cache()
+        df.count()
+        began = time.perf_counter()
+        projection_dedup.near_vectors(df).count()
+        spent[dim] = time.perf_counter() - began
+    assert spent[256] < 5 * spent[64] + 2
