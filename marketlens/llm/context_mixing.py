@@ -1,23 +1,34 @@
 """Language-model scoring by logistic context mixing.
 
 Text (lower-cased, A-Z) is coded item by item: an item is a word and the white-space byte that ends it (a white-space byte
-alone where two meet; the last item ends in an end sign). Each byte is coded by the bits of a Huffman code. Five predictors
-give a probability for each bit, from the counts of that bit in a hashed context: the last 1, 2, 3 and 5 bytes of the
-item (with what came before the item, at its start) and the whole item so far. Their log-odds are added up with weights,
-chosen by a gate (place in the item, depth in the code, how often the whole item so far was seen). Weights are learned online; the result is refined by an
-adaptive map from (gate, quantised log-odds) to what happened. A text's probability is the product over its bits.
-
-All training documents count. Contexts reach no further back than an item's start and the kind of break before it, so all
-occurrences of an item cost the same, and the corpus may be reduced to its distinct items and their counts first:
-
-1. distinct items with counts (a shuffle that grows with the corpus),
-2. context counts, summed over partitions (tables of fixed size, broadcast afterwards),
-3. online mixing over each partition's items from the same start; weights are averaged and maps summed over partitions,
-4. scoring: documents are dealt into buckets of bounded size; a bucket asks for the training counts of its distinct words
-   by hash (they are joined with the counts and sent back) and scores each of its distinct items once.
-
-The base score is that of an add-half unigram model over words and text ends. Words are told apart by 64-bit hashes.
-Null texts are empty texts: one token, the end. Without training documents all counts are 0.
+alone where two meet; the last item ends in an end sign). Items stand in segments of about ``SEGMENT`` items, which end where
+the words say so (a word's hash), so that the same passage is cut alike everywhere.
+
+* A segment of at least ``LEAST`` items starts with a bit: whether it is recalled, that is occurs in other training texts. That
+  bit is predicted by what such bits were before in the document, and after the same two bits. A recalled segment
+  costs its share of all training segments, any other one the items it is made of.
+* Each byte of an item is coded by the bits of a Huffman code. Four predictors give a probability for each bit, from the
+  counts of that bit in a hashed context: the last 1, 2 and 3 bytes (with what came before the item, at its start) and the
+  whole item so far. Their log-odds are added up with weights, chosen by a gate (place in the item, depth in the code, how
+  often the whole item so far was seen). Weights are learned online; the result is refined by an adaptive map from
+  (gate, quantised log-odds) to what happened.
+
+A text's probability is the product over its bits and recalled segments.
+
+All training documents count, and all that is gathered grows with them: distinct items with counts, segments with counts,
+and the counts of items so far, which are made in groups of items that share their first three bytes. Only counts of
+contexts of up to three bytes are tables of fixed size, as there are only so many such contexts.
+
+1. Distinct items with their training counts; counts of segments (shuffles that grow with the corpus).
+2. Online mixing over each group's items in the order of their hashes, from the same start; weights are averaged and maps
+   summed over groups. Groups follow from the items alone, so another number of partitions or a lost executor changes nothing.
+3. Each distinct item is scored once, in its group.
+4. Documents are dealt into buckets of bounded size; a bucket asks for its distinct items and segments by hash, which are
+   joined with their scores and counts and sent back.
+
+A training document's own segments are not counted for it, so that it is not recalled from itself; its words and items are.
+The base score is that of an add-half unigram model over words and text ends. Words, items and segments are told apart by
+64-bit hashes. Null texts are empty texts: one token, the end. Without training documents all counts are 0.
 """
 
 from __future__ import annotations
@@ -34,12 +45,15 @@ from marketlens.llm import tokens
 from marketlens.llm.common import hold, short_batches, utf8
 
 TABLE_BITS = 19
-ORDERS = (1, 2, 3, 5)
+ORDERS = (1, 2, 3)
 PREDICTORS = len(ORDERS) + 1
 PLACES, DEPTHS, LEVELS = 4, 6, 4
 GATES = PLACES * DEPTHS * LEVELS
 STEPS = 33
 RATE = 0.15
+SEGMENT, LEAST = 12, 4
+GROUP = 60_000
+SLICE = 10_000
 BUCKET = 24_000_000
 CHUNK = 16_000_000
 BLOCK = 1 << 14
@@ -74,6 +88,22 @@ class Items:
             self.word[at:to] = np.where(e > s, tokens.span_hashes(values, s, e), np.uint64(0))
             at = to
 
+    def segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where segments begin (one more entry than segments), and their hashes (0 for those of too few items)."""
+        n = len(self.word)
+        new_doc = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if n else np.zeros(0, bool)
+        after = np.concatenate([[False], (self.word[:-1] != 0) & (self.word[:-1] % np.uint64(SEGMENT) == 0)]) if n else new_doc
+        begins = np.append(np.flatnonzero(new_doc | after), n)
+        hashes = np.zeros(len(begins) - 1, np.uint64)
+        values, at = tokens.mix(self.word + np.uint64(5)), 0
+        while at < len(hashes):
+            to = max(at + 1, int(np.searchsorted(begins, begins[at] + (1 << 20), "right")) - 1)
+            lo, hi = begins[at], begins[to]
+            hashes[at:to] = tokens.mix(tokens.span_hashes(values[lo:hi], begins[at:to] - lo, begins[at + 1 : to + 1] - lo) + np.uint64(11))
+            at = to
+        hashes[np.diff(begins) < LEAST] = 0
+        return begins, hashes
+
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code and length for each of 256 bytes; every byte has one."""
@@ -93,7 +123,8 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bits:
-    """All bits of some items (bytes with their break): the item, the bit, its gate, and its slot for each predictor."""
+    """All bits of some items (bytes with their break): the item, the bit, its gate, its slot for each order, and the key of
+    the whole item so far (0 within the first three bytes, which the orders cover)."""
 
     def __init__(self, items: list[bytes], kind: np.ndarray, code: np.ndarray, length: np.ndarray):
         pad = max(ORDERS)
@@ -109,11 +140,10 @@ class Bits:
         contexts, acc = [], np.zeros(len(x), np.uint64)
         for n in range(1, pad + 1):
             acc[n:] = acc[n:] * _A + x[:-n]
-            if n in ORDERS:
-                contexts.append(tokens.mix(acc[at] + np.uint64(n)))
-        powers, _ = tokens._pow(int(place.max()) + 1 if len(place) else 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(x[at] * powers[place])])
-        contexts.append(tokens.mix(sums[:-1] - sums[np.cumsum(sizes) - sizes][item] + tokens.mix(kind.astype(np.uint64)[item] + np.uint64(77))))
+            contexts.append(tokens.mix(acc[at] + np.uint64(n)))
+        starts = np.cumsum(sizes) - sizes
+        so_far = tokens.span_hashes(x[at], starts[item], np.arange(len(item))) if len(item) else np.zeros(0, np.uint64)
+        so_far = tokens.mix(so_far + kind.astype(np.uint64)[item] + np.uint64(77))
         n = length[byte]
         of = np.repeat(np.arange(len(byte)), n)
         depth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -123,34 +153,63 @@ class Bits:
         self.gate = (np.digitize(place, (1, 2, 5))[of] * DEPTHS + np.minimum(depth, DEPTHS - 1)) * LEVELS
         shift = np.uint64(64 - TABLE_BITS)
         self.slot = [(((c[of] ^ node) * _C) >> shift).astype(np.int64) for c in contexts]
+        self.key = np.where(place[of] >= pad, tokens.mix(so_far[of] ^ node) | np.uint64(1), np.uint64(0))
+
+
+def slices(items: list[bytes], kind: np.ndarray, code: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, Bits]]:
+    for lo in range(0, len(items), SLICE):
+        hi = min(lo + SLICE, len(items))
+        yield lo, hi, Bits(items[lo:hi], kind[lo:hi], code, length)
+
+
+class SoFar:
+    """Counts of the bits after items so far, of one group."""
+
+    def __init__(self, items: list[bytes], kind: np.ndarray, count: np.ndarray, code: np.ndarray, length: np.ndarray):
+        keys, zeros, ones = [np.zeros(1, np.uint64)], [np.zeros(1)], [np.zeros(1)]
+        for lo, _, b in slices(items, kind, code, length):
+            w = count[lo + b.item]
+            key, back = np.unique(b.key, return_inverse=True)
+            keys.append(key)
+            ones.append(np.bincount(back, w * b.bit, len(key)))
+            zeros.append(np.bincount(back, w * (1 - b.bit), len(key)))
+        self.key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        self.ones, self.zeros = (np.bincount(back, np.concatenate(v), len(self.key)) for v in (ones, zeros))
+        self.ones[0] = self.zeros[0] = 0  # key 0 is no context
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.key, key)
+        return self.ones[at], self.zeros[at]
 
 
 class Model:
-    """Code, counts by predictor and slot, weights by gate and the adaptive map."""
+    """Code, counts by order and slot, weights by gate and the adaptive map."""
 
     def __init__(self, code, length, zeros=None, ones=None, weights=None, hits=None, seen=None):
         self.code, self.length, self.zeros, self.ones = code, length, zeros, ones
         self.weights = np.full((GATES, PREDICTORS), 0.3) if weights is None else weights
         self.hits, self.seen = (np.zeros((GATES, STEPS)) if hits is None else hits), (np.zeros((GATES, STEPS)) if seen is None else seen)
 
-    def inputs(self, b: Bits, leave: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, b: Bits, so_far: SoFar, leave: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds by predictor, and gates. ``leave``: 1 takes the bit itself out of the counts, which hold it when
         weights are learned, so that what was seen once looks as new as it will be in other texts."""
         x = np.empty((len(b.bit), PREDICTORS))
-        for k, s in enumerate(b.slot):
-            o, z = self.ones[k][s], self.zeros[k][s]
+        counts = [(self.ones[k][s], self.zeros[k][s]) for k, s in enumerate(b.slot)] + [so_far.of(b.key)]
+        for k, (o, z) in enumerate(counts):
             if leave:
                 o, z = np.maximum(o - b.bit, 0), np.maximum(z - (1 - b.bit), 0)
+                counts[k] = o, z
             x[:, k] = np.log((o + 0.1) / (z + 0.1))
-        return x, b.gate + np.digitize(o + z, (0.5, 4, 40))
+        early = np.add(*counts[len(ORDERS) - 1])  # within the first bytes the longest order is the whole item so far
+        return x, b.gate + np.digitize(np.where(b.key == 0, early, np.add(*counts[-1])), (0.5, 4, 40))
 
     @staticmethod
     def step(odds: np.ndarray) -> np.ndarray:
         return np.clip(np.rint((odds + 8) * 2), 0, STEPS - 1).astype(np.int64)
 
-    def learn(self, b: Bits, count: np.ndarray) -> None:
+    def learn(self, b: Bits, so_far: SoFar, count: np.ndarray) -> None:
         """One online step over the bits of a few items, each as heavy as its count."""
-        (x, gate), w = self.inputs(b, 1), count[b.item]
+        (x, gate), w = self.inputs(b, so_far, 1), count[b.item]
         odds = np.clip((x * self.weights[gate]).sum(1), -8, 8)
         key = gate * STEPS + self.step(odds)
         self.hits += np.bincount(key, w * b.bit, GATES * STEPS).reshape(GATES, STEPS)
@@ -160,25 +219,43 @@ class Model:
         for k in range(PREDICTORS):
             self.weights[:, k] += RATE * np.bincount(gate, miss * x[:, k], GATES) / total
 
-    def score(self, items: list[bytes], kind: np.ndarray) -> np.ndarray:
-        """log10 probability of each item."""
-        b = Bits(items, kind, self.code, self.length)
-        x, gate = self.inputs(b)
+    def score(self, b: Bits, so_far: SoFar, n: int) -> np.ndarray:
+        """log10 probability of each of the ``n`` items of some bits."""
+        x, gate = self.inputs(b, so_far)
         odds = np.clip((x * self.weights[gate]).sum(1), -8, 8)
         p = 1 / (1 + np.exp(-odds))
         at = (gate, self.step(odds))
         refined = (self.hits[at] + 4 * p) / (self.seen[at] + 4)
         p = np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
-        return np.bincount(b.item, np.log10(np.where(b.bit == 1, p, 1 - p)), len(items))
-
-
-def _distinct(texts: Iterator[list[bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """(items, kinds, counts) of the distinct items of runs of texts of bounded size."""
-    for some in texts:
-        t = Items(some)
-        _, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-        raw = t.raw.tobytes()
-        yield [raw[s : e + 1] for s, e in zip(t.starts[first].tolist(), t.ends[first].tolist(), strict=True)], t.kind[first], n
+        return np.bincount(b.item, np.log10(np.where(b.bit == 1, p, 1 - p)), n)
+
+
+def recalled(begins: np.ndarray, others: np.ndarray, asked: np.ndarray, doc: np.ndarray, total: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    """log10 probability of each segment: ``asked`` tells which start with the bit, ``others`` how often each occurs in other
+    training texts, ``total`` how many segments those have, ``spelled`` what its items cost."""
+    out = np.add.reduceat(spelled, begins[:-1]) if len(begins) > 1 else np.zeros(0)
+    at = np.flatnonzero(asked)
+    if not len(at):
+        return out
+    bit, d = (others[at] > 0).astype(np.int64), doc[at]
+    same = np.concatenate([[False], d[1:] == d[:-1]])
+    one = np.where(same, np.concatenate([[0], bit[:-1]]), 2)
+    same2 = np.concatenate([[False, False], d[2:] == d[:-2]])[: len(d)]
+    two = np.where(same2, np.concatenate([[0, 0], bit[:-2]])[: len(d)], 2)
+    odds = np.zeros(len(at))
+    for context in (d, (d * 3 + one) * 3 + two):
+        order = np.argsort(context, kind="stable")
+        c, b = context[order], bit[order]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        size = np.diff(np.append(first, len(c)))
+        before = np.concatenate([[0], np.cumsum(b)])[:-1]
+        ones = before - np.repeat(before[first], size)
+        seen = np.arange(len(c)) - np.repeat(first, size)
+        odds[order] += np.log((ones + 0.4) / (seen - ones + 0.4)) / 2
+    p = 1 / (1 + np.exp(-odds))
+    named = np.log10(np.maximum(others[at], 1) / np.maximum(total[at], 1))
+    out[at] = np.where(bit == 1, np.log10(p) + named, np.log10(1 - p) + out[at])
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[bytes]]:
@@ -195,16 +272,54 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[bytes
         yield held
 
 
-def count_items(texts: DataFrame) -> DataFrame:
-    """(item, kind, word, n): distinct items of a column of texts with their counts."""
+def count_items(docs: DataFrame) -> DataFrame:
+    """(item, kind, n): distinct items of all texts (text, held_out) with how often they occur in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for items, kinds, n in _distinct(_runs(batches, 0)):
+        for b in batches:
+            held = b.column(1).to_numpy(zero_copy_only=False)
+            texts = utf8(b.column(0))
+            yield from zip(texts, held, strict=True)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        train: list[bool] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = Items(texts)
+            _, first, back = np.unique(t.hash, return_index=True, return_inverse=True)
+            n = np.bincount(back, np.asarray(train, float)[t.doc], len(first)).astype(np.int64)
+            raw = t.raw.tobytes()
+            items = [raw[s : e + 1] for s, e in zip(t.starts[first].tolist(), t.ends[first].tolist(), strict=True)]
             for lo in range(0, len(items), 100_000):
                 hi = lo + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(items[lo:hi], pa.binary()), pa.array(kinds[lo:hi], pa.int32()), pa.array(n[lo:hi])], names=["item", "kind", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(items[lo:hi], pa.binary()), pa.array(t.kind[first][lo:hi], pa.int32()), pa.array(n[lo:hi])], names=["item", "kind", "n"])
+
+        for text, held in run(batches):
+            texts.append(text)
+            train.append(not held)
+            size += len(text) + 1
+            if size > CHUNK:
+                yield from flush()
+                texts, train, size = [], [], 0
+        if texts:
+            yield from flush()
+
+    out = short_batches(docs).select("text", "held_out").mapInArrow(distinct, "item binary, kind int, n long")
+    return out.groupBy("item", "kind").agg(F.sum("n").alias("n"))
+
+
+def count_segments(texts: DataFrame) -> DataFrame:
+    """(h, n): the segments of a column of training texts with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _runs(batches, 0):
+            h, n = np.unique(Items(some).segments()[1], return_counts=True)
+            at = h != 0
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n[at])], names=["h", "n"])
 
-    return short_batches(texts).mapInArrow(run, "item binary, kind int, n long").groupBy("item", "kind").agg(F.sum("n").alias("n"))
+    return short_batches(texts).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _merge_blocks(parts: DataFrame, n: int) -> DataFrame:
@@ -220,61 +335,83 @@ def _merge_blocks(parts: DataFrame, n: int) -> DataFrame:
     return parts
 
 
-def _item_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    for b in batches:
-        for lo in range(0, b.num_rows, size):
-            part = b.slice(lo, size)
-            yield part.column(0).to_pylist(), part.column(1).to_numpy().astype(np.int64), part.column(2).to_numpy().astype(np.float64)
+def _grouped(items: DataFrame, n_items: int) -> DataFrame:
+    """``items`` with the group ``g`` of the first three bytes of their word: all that items so far need is in one group."""
+    start = F.substring("item", F.lit(1), F.least(F.lit(3), F.greatest(F.length("item") - 1, F.lit(0))))
+    return items.withColumn("g", F.pmod(F.xxhash64(start), F.lit(max(1, -(-n_items // GROUP)))).cast("int"))
+
+
+def _group(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items of a group in the order of their hashes, with kinds, counts, hashes and word hashes."""
+    got, kind, n = t["item"].to_pylist(), t["kind"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.float64)
+    raw = np.frombuffer(b"".join(got), np.uint8).astype(np.uint64) + np.uint64(1)
+    ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+    starts = ends - np.fromiter(map(len, got), np.int64, len(got))
+    h = tokens.mix(tokens.span_hashes(raw, starts, ends) + kind.astype(np.uint64))
+    word = np.where(ends - 1 > starts, tokens.span_hashes(raw, starts, ends - 1), np.uint64(0))
+    order = np.argsort(h)
+    return [got[i] for i in order.tolist()], kind[order], n[order], h[order], word[order]
 
 
-def fit(items: DataFrame) -> Model:
-    """Learns from distinct items (item, kind, n), all of them."""
+def fit(items: DataFrame, n_items: int) -> Model:
+    """Learns from the distinct items (item, kind, n) that training texts have, all of them."""
     spark = items.sparkSession
+    items = items.where("n > 0")
     byte = items.select(F.explode(F.split(F.hex("item"), "(?<=\\G..)")).alias("byte"), "n").groupBy("byte").agg(F.sum("n").alias("n"))
     histogram = np.zeros(256)
     for r in byte.collect():  # 256 rows at most
         if r.byte:
             histogram[int(r.byte, 16)] = r.n
     code, length = huffman(histogram)
-    n_items = items.count()
     parts = max(2, -(-n_items // 1_000_000))
-    dealt = items.coalesce(parts) if items.rdd.getNumPartitions() > parts else items
+    dealt = items.coalesce(parts)
     slots = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        sums = np.zeros((PREDICTORS * 2, slots))
-        for got, kind, n in _item_runs(batches, 20_000):
-            b = Bits(got, kind, code, length)
-            w = n[b.item]
-            for k in range(PREDICTORS):
-                for bit in (0, 1):
-                    one = b.bit == bit
-                    sums[2 * k + bit] += np.bincount(b.slot[k][one], w[one], slots)
-        for k in range(PREDICTORS * 2):
+        sums = np.zeros((len(ORDERS) * 2, slots))
+        held: list[pa.RecordBatch] = []
+
+        def add() -> None:
+            t = pa.Table.from_batches(held)
+            got, n = t["item"].to_pylist(), t["n"].to_numpy().astype(np.float64)
+            for lo, _, b in slices(got, t["kind"].to_numpy().astype(np.int64), code, length):
+                w = n[lo + b.item]
+                for k in range(len(ORDERS)):
+                    for bit in (0, 1):
+                        one = b.bit == bit
+                        sums[2 * k + bit] += np.bincount(b.slot[k][one], w[one], slots)
+            held.clear()
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= SLICE:
+                add()
+        if held:
+            add()
+        for k in range(len(ORDERS) * 2):
             for block in range(slots // BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([sums[k, block * BLOCK : (block + 1) * BLOCK].tobytes()], pa.binary())], names=["table", "block", "part", "sums"])
 
-    counted = short_batches(dealt, 20_000).select("item", "kind", "n").mapInArrow(count, "table int, block int, part int, sums binary")
-    tables = np.zeros((PREDICTORS * 2, slots))
+    counted = short_batches(dealt).select("item", "kind", "n").mapInArrow(count, "table int, block int, part int, sums binary")
+    tables = np.zeros((len(ORDERS) * 2, slots))
     for r in _merge_blocks(counted, parts).toLocalIterator():  # tables of a fixed size
         tables[r.table, r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.sums, np.float64)
     zeros, ones = tables[0::2].astype(np.float32), tables[1::2].astype(np.float32)
     sent = spark.sparkContext.broadcast((code, length, zeros, ones))
 
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(t: pa.Table) -> pa.Table:
         model = Model(*sent.value)
-        total = 0.0
-        for got, kind, n in _item_runs(batches, 500):
-            w = n
-            model.learn(Bits(got, kind, model.code, model.length), w)
-            total += w.sum()
-        flat = np.concatenate([model.weights.ravel() * total, model.hits.ravel(), model.seen.ravel(), [total]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["k", "v"])
-
-    flat = short_batches(dealt, 20_000).select("item", "kind", "n").mapInArrow(mix, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+        got, kind, n, _, _ = _group(t)
+        so_far = SoFar(got, kind, n, model.code, model.length)
+        for lo in range(0, len(got), 500):
+            model.learn(Bits(got[lo : lo + 500], kind[lo : lo + 500], model.code, model.length), so_far, n[lo : lo + 500])
+        flat = np.concatenate([model.weights.ravel() * n.sum(), model.hits.ravel(), model.seen.ravel(), [n.sum()]])
+        return pa.table({"k": pa.array(np.arange(len(flat)), pa.int32()), "v": pa.array(flat)})
+
+    flat = _grouped(items, n_items).groupBy("g").applyInArrow(learn, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
     v = np.zeros(GATES * (PREDICTORS + 2 * STEPS) + 1)
     for r in flat.collect():  # as many rows as the model has weights and map cells
         v[r.k] = r.v
@@ -283,70 +420,134 @@ def fit(items: DataFrame) -> Model:
     return Model(code, length, zeros, ones, weights, v[cut1:cut2].reshape(GATES, STEPS), v[cut2:-1].reshape(GATES, STEPS))
 
 
+def score_items(items: DataFrame, n_items: int, model) -> DataFrame:
+    """(h, c, v): for each distinct item by its hash, how often its word occurs in training texts, and its log10 probability."""
+
+    def run(t: pa.Table) -> pa.Table:
+        m = model.value
+        got, kind, n, h, word = _group(t)
+        so_far = SoFar(got, kind, n, m.code, m.length)
+        v = np.concatenate([m.score(b, so_far, hi - lo) for lo, hi, b in slices(got, kind, m.code, m.length)])
+        _, back = np.unique(word, return_inverse=True)
+        c = np.where(word == 0, 0, np.bincount(back, n)[back]).astype(np.int64)
+        return pa.table({"h": pa.array(h.view(np.int64)), "c": pa.array(c), "v": pa.array(v)})
+
+    return _grouped(items, n_items).groupBy("g").applyInArrow(run, "h long, c long, v double")
+
+
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes), learning from rows where ``train``."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~train).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    items = hold(count_items(plain.where("not held_out").select("text")))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = Items([x[:-1] for x in b.column(0).to_pylist()])
-            one = np.concatenate([[True], t.doc[1:] != t.doc[:-1]]) if len(t.doc) else np.zeros(0, bool)
-            ends = np.asarray([x.endswith(b"\xff") for x in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(t.word[one].view(np.int64)), b.column(1), pa.array(ends)], names=["word", "n", "ends"])
-
-    words = short_batches(items.select("item", "n"), 20_000).mapInArrow(hashed, "word long, n long, ends boolean")
-    counts = hold(words.where("word <> 0").groupBy("word").agg(F.sum("n").alias("c")))
-    known = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    ends = words.where("ends").agg(F.sum("n")).first()[0] or 0
+    items = hold(count_items(plain.select("text", "held_out")))
+    n_items = items.count()
+    model = spark.sparkContext.broadcast(fit(items, n_items))
+    scored = hold(score_items(items, n_items, model))
+    segments = hold(count_segments(plain.where("not held_out").select("text")))
+    n_segments = segments.agg(F.sum("n")).first()[0] or 0
+    sizes = plain.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum((~F.col("held_out")).cast("long")).alias("ends")).first()
+    ends = sizes.ends or 0
+    word = F.when(F.length("item") > 1, F.substring("item", F.lit(1), F.length("item") - 1))
+    known = items.where("n > 0").select(word.alias("w"), "n").where("w is not null").groupBy("w").agg(F.sum("n").alias("n")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = (known.n or 0) + ends, known.v + (ends > 0)
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    model = spark.sparkContext.broadcast(fit(items))
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET))
+    buckets = max(1, -(-(sizes.bytes or 0) // BUCKET))
     dealt = plain.withColumn("b", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).cast("int"))
 
-    def ask(t: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for texts in _runs(iter(t.select(["text"]).to_batches()), 0):
-            found.append(np.unique(Items(texts).word))
-        w = np.unique(np.concatenate(found))
-        w = w[w != 0].view(np.int64)
-        return pa.table({"b": pa.array(np.full(len(w), t["b"][0].as_py()), pa.int32()), "word": pa.array(w)})
-
-    asked = short_batches(dealt).groupBy("b").applyInArrow(ask, "b int, word long").join(counts, "word")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct items and segments of each bucket's texts, as far as a task has read; own: training occurrences of a
+        segment, docs: texts that have it (items have 0 and 2, as they are always needed)."""
+        for b in batches:
+            bucket, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            t = Items(utf8(b.column(2)))
+            begins, h = t.segments()
+            doc = t.doc[begins[:-1]]
+            fine = h != 0
+            of, at = _pairs(bucket[t.doc], t.hash)
+            seg_b, seg_h, own, texts = _owned(bucket[doc][fine], h[fine], ~held[doc][fine], doc[fine])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([of, seg_b]).astype(np.int32)), pa.array(np.concatenate([at, seg_h]).view(np.int64)),
+                pa.array(np.concatenate([np.zeros(len(of), np.int64), own])), pa.array(np.concatenate([np.full(len(of), 2), texts]).astype(np.int64)),
+            ], names=["b", "h", "own", "docs"])
+
+    asked = _whole_runs(short_batches(dealt).select("b", "held_out", "text"), ask, "b int, h long, own long, docs long")
+    asked = asked.groupBy("b", "h").agg(F.sum("own").alias("own"), F.sum("docs").alias("docs"))
+    table = scored.unionByName(segments.select("h", F.col("n").alias("c"), F.lit(None).cast("double").alias("v")))
+    answers = asked.join(table, "h").where("v is not null or c > own or docs > 1").select("b", "h", "c", F.col("v").cast("float").alias("v"))
 
     def answer(docs_: pa.Table, got: pa.Table) -> pa.Table:
-        m = model.value
-        word, c = np.asarray(got["word"].to_numpy()).view(np.uint64), got["c"].to_numpy()
-        order = np.argsort(word)
-        word, c = np.concatenate([word[order], [np.uint64(0xFFFFFFFFFFFFFFFF)]]), np.concatenate([c[order], [0]])
+        h, c, v = np.asarray(got["h"].to_numpy()).view(np.uint64), got["c"].to_numpy(), got["v"].to_numpy()
+        order = np.argsort(h)
+        top = np.uint64(0xFFFFFFFFFFFFFFFF)
+        h, c, v = np.concatenate([h[order], [top]]), np.concatenate([c[order], [0]]), np.concatenate([v[order], [0.0]]).astype(np.float64)
         out = []
-        for b in docs_.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=2_000):
+        for b in docs_.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=1_000):
             texts = utf8(b.column(2))
-            t = Items(texts)
-            n = len(texts)
-            at = np.minimum(np.searchsorted(word, t.word), len(word) - 1)
-            cs = np.where(word[at] == t.word, c[at], 0)
+            t, n = Items(texts), len(texts)
+            at = np.minimum(np.searchsorted(h, t.hash), len(h) - 1)
             real = t.word != 0
-            doc = t.doc[real]
-            base = np.bincount(doc, np.log10(cs[real] + 0.5), n) + np.log10(ends + 0.5)
+            doc, cs = t.doc[real], c[at][real]
             count = np.bincount(doc, minlength=n) + 1
-            base = base - count * norm
-            n_known = np.bincount(doc, cs[real] > 0, n).astype(np.int64) + int(ends > 0)
-            _, first, back = np.unique(t.hash, return_index=True, return_inverse=True)
-            raw = t.raw.tobytes()
-            logs = np.zeros(len(first))
-            for lo in range(0, len(first), 20_000):
-                f = first[lo : lo + 20_000]
-                logs[lo : lo + 20_000] = m.score([raw[s : e + 1] for s, e in zip(t.starts[f].tolist(), t.ends[f].tolist(), strict=True)], t.kind[f])
+            base = np.bincount(doc, np.log10(cs + 0.5), n) + np.log10(ends + 0.5) - count * norm
+            n_known = np.bincount(doc, cs > 0, n).astype(np.int64) + int(ends > 0)
+            begins, seg = t.segments()
+            of, mine = t.doc[begins[:-1]], ~b.column(1).to_numpy(zero_copy_only=False)
+            where = np.minimum(np.searchsorted(h, seg), len(h) - 1)
+            others = np.where((seg != 0) & (h[where] == seg), c[where], 0) - np.where(mine[of], _times(of, seg), 0)
+            all_own = np.bincount(of, seg != 0, n)
+            left = np.where(mine, n_segments - all_own, n_segments)[of]
+            parts = recalled(begins, np.maximum(others, 0), seg != 0, of, left, v[at])
             out.append(pa.table({
                 "doc_id": b.column(0), "held_out": b.column(1), "n_tokens": pa.array(count.astype(np.int64)), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, total, np.int64)),
-                "base_score": pa.array(base), "score": pa.array(np.bincount(t.doc, logs[back], n)), "n_bytes": pa.array(np.asarray([len(x) for x in texts], np.int64)),
+                "base_score": pa.array(base), "score": pa.array(np.bincount(of, parts, n)), "n_bytes": pa.array(np.asarray([len(x) for x in texts], np.int64)),
             }))
         kind = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
         return pa.concat_tables(out).cast(kind) if out else kind.empty_table()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-    return dealt.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(answer, schema)
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(answer, schema)
+
+
+def _times(doc: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """How often each segment occurs in its own document."""
+    key = tokens.mix(seg ^ tokens.mix(doc.astype(np.uint64) + np.uint64(3)))
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    return n[back]
+
+
+def _pairs(bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (bucket, h)."""
+    order = np.lexsort((h, bucket))
+    b, x = bucket[order], h[order]
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])]) if len(b) else np.zeros(0, bool)
+    return b[new], x[new]
+
+
+def _owned(bucket: np.ndarray, h: np.ndarray, train: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (bucket, h) with training occurrences and texts."""
+    order = np.lexsort((doc, h, bucket))
+    b, x, t, d = bucket[order], h[order], train[order], doc[order]
+    if not len(b):
+        return b, x, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
+    text = new | np.concatenate([[True], d[1:] != d[:-1]])
+    first = np.flatnonzero(new)
+    return b[new], x[new], np.add.reduceat(t.astype(np.int64), first), np.add.reduceat(text.astype(np.int64), first)
+
+
+def _whole_runs(df: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` over runs of rows of about CHUNK bytes, so that what repeats in a task is told once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > CHUNK:
+                yield from f(pa.Table.from_batches(held).combine_chunks().to_batches())
+                held, size = [], 0
+        if held:
+            yield from f(pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return df.mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each pair; values are small numbers above 0.
+    """A 64-bit hash of values[start:end] for each pair.
 
     Two polynomials are mixed: one modulo 2**64, and one modulo a prime, as the first alone can't tell some periodic
     sequences apart. Spans of one call are at most 2**31 values long.
@@ -67,7 +67,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     np.cumsum(values * b[:n], out=sums[1:])
     one = (sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)
     p, q = _prime_pow(n + 1)
-    np.cumsum(values * p[:n] % _P, out=sums[1:])
+    np.cumsum(values % _P * p[:n] % _P, out=sums[1:])
     two = (sums[ends] - sums[starts]) % _P * q[starts] % _P
     return mix(one ^ mix(two))
 
