@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens
-from marketlens.llm.common import hold, short_batches, utf8
+from marketlens.llm.common import chunks, hold, short_batches, utf8
 
 TABLE_BITS = 19
 ORDERS = (1, 2, 3)
@@ -55,7 +55,7 @@ SEGMENT, LEAST = 12, 4
 GROUP = 60_000
 SLICE = 10_000
 BUCKET = 24_000_000
-CHUNK = 16_000_000
+CHUNK = 12_000_000
 BLOCK = 1 << 14
 END = 0xFF
 _BREAK = np.zeros(256, bool)
@@ -363,7 +363,7 @@ def fit(items: DataFrame, n_items: int) -> Model:
         if r.byte:
             histogram[int(r.byte, 16)] = r.n
     code, length = huffman(histogram)
-    parts = max(2, -(-n_items // 1_000_000))
+    parts = max(2, -(-n_items // 400_000))
     dealt = items.coalesce(parts)
     slots = 1 << TABLE_BITS
 
@@ -454,26 +454,28 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     buckets = max(1, -(-(sizes.bytes or 0) // BUCKET))
     dealt = plain.withColumn("b", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).cast("int"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct items and segments of each bucket's texts, as far as a task has read; own: training occurrences of a
-        segment, docs: texts that have it (items have 0 and 2, as they are always needed)."""
-        for b in batches:
-            bucket, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            t = Items(utf8(b.column(2)))
-            begins, h = t.segments()
-            doc = t.doc[begins[:-1]]
-            fine = h != 0
-            of, at = _pairs(bucket[t.doc], t.hash)
-            seg_b, seg_h, own, texts = _owned(bucket[doc][fine], h[fine], ~held[doc][fine], doc[fine])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([of, seg_b]).astype(np.int32)), pa.array(np.concatenate([at, seg_h]).view(np.int64)),
-                pa.array(np.concatenate([np.zeros(len(of), np.int64), own])), pa.array(np.concatenate([np.full(len(of), 2), texts]).astype(np.int64)),
-            ], names=["b", "h", "own", "docs"])
-
-    asked = _whole_runs(short_batches(dealt).select("b", "held_out", "text"), ask, "b int, h long, own long, docs long")
-    asked = asked.groupBy("b", "h").agg(F.sum("own").alias("own"), F.sum("docs").alias("docs"))
-    table = scored.unionByName(segments.select("h", F.col("n").alias("c"), F.lit(None).cast("double").alias("v")))
-    answers = asked.join(table, "h").where("v is not null or c > own or docs > 1").select("b", "h", "c", F.col("v").cast("float").alias("v"))
+    def ask(t: pa.Table) -> pa.Table:
+        """Distinct items and segments of a bucket. ``own``: training occurrences of a segment that only one of its texts
+        has; -1 for all that is to be answered whatever its count."""
+        items_, segs, own_, texts_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in t.select(["held_out", "text"]).to_batches():
+            held, texts = b.column(0).to_numpy(zero_copy_only=False), utf8(b.column(1))
+            for lo, hi in chunks(texts, CHUNK // 4):
+                some = Items(texts[lo:hi])
+                items_.append(np.unique(some.hash))
+                begins, h = some.segments()
+                doc, fine = some.doc[begins[:-1]], h != 0
+                for got, add in zip((segs, own_, texts_), _owned(h[fine], ~held[lo:hi][doc[fine]], doc[fine]), strict=True):
+                    got.append(add)
+        found = np.unique(np.concatenate(items_))
+        seg, back = np.unique(np.concatenate(segs), return_inverse=True)
+        own, n = np.bincount(back, np.concatenate(own_), len(seg)), np.bincount(back, np.concatenate(texts_), len(seg))
+        h, own = np.concatenate([found, seg]), np.concatenate([np.full(len(found), -1), np.where(n > 1, -1, own)])
+        return pa.table({"b": pa.array(np.full(len(h), t["b"][0].as_py()), pa.int32()), "h": pa.array(h.view(np.int64)), "own": pa.array(own.astype(np.int32))})
+
+    asked = short_batches(dealt).groupBy("b").applyInArrow(ask, "b int, h long, own int")
+    table = scored.select("h", F.col("c"), F.col("v").cast("float").alias("v")).unionByName(segments.select("h", F.col("n").alias("c"), F.lit(0.0).cast("float").alias("v")))
+    answers = asked.join(table, "h").where("c > own").select("b", "h", F.col("c").cast("int").alias("c"), "v")
 
     def answer(docs_: pa.Table, got: pa.Table) -> pa.Table:
         h, c, v = np.asarray(got["h"].to_numpy()).view(np.uint64), got["c"].to_numpy(), got["v"].to_numpy()
@@ -481,7 +483,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
         h, c, v = np.concatenate([h[order], [top]]), np.concatenate([c[order], [0]]), np.concatenate([v[order], [0.0]]).astype(np.float64)
         out = []
-        for b in docs_.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=1_000):
+        for b in docs_.select(["doc_id", "held_out", "text"]).to_batches(max_chunksize=500):
             texts = utf8(b.column(2))
             t, n = Items(texts), len(texts)
             at = np.minimum(np.searchsorted(h, t.hash), len(h) - 1)
@@ -515,39 +517,13 @@ def _times(doc: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def _pairs(bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (bucket, h)."""
-    order = np.lexsort((h, bucket))
-    b, x = bucket[order], h[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])]) if len(b) else np.zeros(0, bool)
-    return b[new], x[new]
-
-
-def _owned(bucket: np.ndarray, h: np.ndarray, train: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (bucket, h) with training occurrences and texts."""
-    order = np.lexsort((doc, h, bucket))
-    b, x, t, d = bucket[order], h[order], train[order], doc[order]
-    if not len(b):
-        return b, x, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])
+def _owned(h: np.ndarray, train: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes with their training occurrences and texts."""
+    order = np.lexsort((doc, h))
+    x, t, d = h[order], train[order], doc[order]
+    if not len(x):
+        return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], x[1:] != x[:-1]])
     text = new | np.concatenate([[True], d[1:] != d[:-1]])
     first = np.flatnonzero(new)
-    return b[new], x[new], np.add.reduceat(t.astype(np.int64), first), np.add.reduceat(text.astype(np.int64), first)
-
-
-def _whole_runs(df: DataFrame, f, schema: str) -> DataFrame:
-    """``f`` over runs of rows of about CHUNK bytes, so that what repeats in a task is told once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size > CHUNK:
-                yield from f(pa.Table.from_batches(held).combine_chunks().to_batches())
-                held, size = [], 0
-        if held:
-            yield from f(pa.Table.from_batches(held).combine_chunks().to_batches())
-
-    return df.mapInArrow(run, schema)
+    return x[new], np.add.reduceat(t.astype(np.int64), first), np.add.reduceat(text.astype(np.int64), first)
