@@ -148,10 +148,10 @@ def compare_terms(pairs: DataFrame, removed: float = 0.52, changed: float = 0.98
                     if s in free:  # equal sentences need no search
                         free.remove(s)
                         continue
-                    m = SequenceMatcher(None, s, "", False)
+                    m = SequenceMatcher(None, s.casefold(), "", False)
                     best, at = 0.0, -1
                     for k, x in enumerate(free):
-                        m.set_seq2(x)
+                        m.set_seq2(x.casefold())
                         if m.real_quick_ratio() > best and m.quick_ratio() > best and (q := m.ratio()) > best:
                             best, at = q, k
                     if best < removed:
@@ -168,7 +168,7 @@ def compare_terms(pairs: DataFrame, removed: float = 0.52, changed: float = 0.98
 
 @query("document_diff")
 def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with the one before them, sentence by sentence."""
-    w = Window.partitionBy(F.floor(F.col("item_id") / 1000)).orderBy("item_id")
-    b = Lens(spark, sf_dir).table("benchmark", "item_id", "text").withColumns({"a": F.lag("item_id").over(w), "text_a": F.lag("text").over(w)})
-    return compare_terms(b.where("a is not null").select("a", F.col("item_id").alias("b"), "text_a", F.col("text").alias("text_b")))
+    """Benchmark items with the one numbered before them, sentence by sentence."""
+    b = Lens(spark, sf_dir).table("benchmark", "item_id", "text")
+    before = b.select((F.col("item_id") + 1).alias("b"), F.col("item_id").alias("a"), F.col("text").alias("text_a"))
+    return compare_terms(b.select(F.col("item_id").alias("b"), F.col("text").alias("text_b")).join(before, "b"))

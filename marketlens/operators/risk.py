@@ -196,7 +196,7 @@ for _name, (_f, _oracle) in INDICATORS.items():
     query(f"risk_{_name}", _oracle)(_run)
 
 
-@query("risk_all")
+@query("risk_all", " union all by name ".join(f"(select * from ({o}))" for _, o in INDICATORS.values()))
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All indicators in one frame, in a fixed order of their union."""
     lens = Lens(spark, sf_dir)

@@ -138,21 +138,25 @@ def sentences_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where a text holds a phrase. Phrases meet only documents with their longest word: an equi-join, so
-    that no text is crossed with all phrases; the phrase itself is looked for afterwards."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}]+"), lambda w: F.char_length(w) > 3)
-    longest = F.array_max(F.transform(words(F.col("phrase")), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    p = phrases.select("item_id", "phrase", longest.alias("w")).where("w is not null")
-    d = docs.select("doc_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    keep = d.select("doc_id", "w").join(p.select("item_id", "w"), "w").select("doc_id", "item_id").distinct()
-    return keep.join(docs, "doc_id").join(phrases, "item_id").where(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
-
-
-@query("phrase_monitor", "select distinct doc_id, item_id from documents d, (select item_id, substr(text, 1, 60) as phrase from benchmark) b where contains(d.text, b.phrase)")
+    """(doc_id, item_id) where a text holds a phrase. The longest word inside a phrase, which has other characters on both
+    sides there, is a whole word of every text that holds the phrase: an equi-join on it finds the candidates, so that no
+    text is crossed with all phrases. Phrases without such a word are looked for by the words that hold theirs."""
+    words = lambda c: F.split(F.lower(c), "[^\\p{L}]+")
+    inner = F.filter(F.slice(words(F.col("phrase")), 2, F.greatest(F.size(words(F.col("phrase"))) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    p = phrases.where("phrase <> ''").select("item_id", "phrase", longest.alias("w"))
+    d = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
+    keep = d.join(p.where("w is not null").select("item_id", "w"), "w").select("doc_id", "item_id")
+    short = p.where("w is null").select("item_id", "phrase")
+    hits = keep.join(docs, "doc_id").join(phrases, "item_id").where(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
+    return hits.unionByName(docs.join(short, F.contains("text", F.col("phrase"))).select("doc_id", "item_id"))
+
+
+@query("phrase_monitor", "select distinct doc_id, item_id from documents d, benchmark b where b.text <> '' and contains(d.text, b.text)")
 def phrase_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of benchmark items as watched phrases."""
+    """Whole benchmark items as watched phrases."""
     lens = Lens(spark, sf_dir)
-    p = lens.table("benchmark", "item_id", "text").select("item_id", F.substring("text", 1, 60).alias("phrase"))
+    p = lens.table("benchmark", "item_id", F.col("text").alias("phrase"))
     return phrase_hits(lens.table("documents", "doc_id", "text"), p).distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,15 @@ def local_session(app: str = "marketlens", cpus: str | int = "*", **conf: str) -
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints to the one the cluster names. A session on one machine, as in tests, gets a folder of
+    its own where none is named; elsewhere that is an error, as executors would not see it."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
