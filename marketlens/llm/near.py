@@ -7,7 +7,7 @@ A bucket holds the texts that share a band. Texts are compared in turns, and wha
 2. In buckets whose members still stand in different classes, members are put in order of another band and each is
    compared with those of the ``NEIGHBOURS`` before it that are of another class. Buckets of up to ``NEIGHBOURS`` + 1
    members are so compared whole; in larger ones texts that also agree in the other band stand side by side. This is
-   repeated with the next band as order until a turn links nothing new or all bands have been the order.
+   done ``TURNS`` times, each with the next band as order, unless a turn links nothing new.
 
 So work is linear in the members of buckets, however large a bucket is. Two alike texts are missed only if they share no
 band, or if in each band they share they are neither linked through other texts nor neighbours in any turn; tests measure
@@ -25,6 +25,7 @@ from marketlens.llm.common import cut, hold
 from marketlens.llm.components import components
 
 NEIGHBOURS = 7
+TURNS = 2
 
 Verify = Callable[[DataFrame], DataFrame]
 Prepare = Callable[[DataFrame], Verify]
@@ -48,7 +49,7 @@ def classes(facts: DataFrame, prepare: Prepare, bands: int) -> DataFrame:
     done = cut(_pairs(live.where("id <> rep"), "id", "rep"))
     linked = cut(verify(done))
     comp = components(linked)
-    for turn in range(1, bands):
+    for turn in range(1, min(bands, TURNS + 1)):
         named = live.join(comp, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
         mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         order = F.element_at("keys", F.pmod(F.col("band") + turn, F.lit(bands)).cast("int") + 1)
