@@ -162,6 +162,10 @@ def slices(items: list[bytes], kind: np.ndarray, code: np.ndarray, length: np.nd
         yield lo, hi, Bits(items[lo:hi], kind[lo:hi], code, length)
 
 
+def log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    return np.log((ones + 0.1) / (zeros + 0.1))
+
+
 class SoFar:
     """Counts of the bits after items so far, of one group."""
 
@@ -176,10 +180,10 @@ class SoFar:
         self.key, back = np.unique(np.concatenate(keys), return_inverse=True)
         self.ones, self.zeros = (np.bincount(back, np.concatenate(v), len(self.key)) for v in (ones, zeros))
         self.ones[0] = self.zeros[0] = 0  # key 0 is no context
+        self.odds, self.total = log_odds(self.ones, self.zeros), self.ones + self.zeros
 
-    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.key, key)
-        return self.ones[at], self.zeros[at]
+    def at(self, key: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, key)
 
 
 class Model:
@@ -190,18 +194,28 @@ class Model:
         self.weights = np.full((GATES, PREDICTORS), 0.3) if weights is None else weights
         self.hits, self.seen = (np.zeros((GATES, STEPS)) if hits is None else hits), (np.zeros((GATES, STEPS)) if seen is None else seen)
 
-    def inputs(self, b: Bits, so_far: SoFar, leave: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds by predictor, and gates. ``leave``: 1 takes the bit itself out of the counts, which hold it when
-        weights are learned, so that what was seen once looks as new as it will be in other texts."""
+    def level(self, b: Bits, early: np.ndarray, late: np.ndarray) -> np.ndarray:
+        """Gates, from how often the whole item so far was seen: within the first bytes that is the longest order."""
+        return b.gate + np.digitize(np.where(b.key == 0, early, late), (0.5, 4, 40))
+
+    def inputs(self, b: Bits, so_far: SoFar) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds by predictor, and gates, for learning. The bit itself is taken out of the counts, which hold it, so that
+        what was seen once looks as new as it will be in other texts."""
         x = np.empty((len(b.bit), PREDICTORS))
-        counts = [(self.ones[k][s], self.zeros[k][s]) for k, s in enumerate(b.slot)] + [so_far.of(b.key)]
+        at = so_far.at(b.key)
+        counts = [(self.ones[k][s], self.zeros[k][s]) for k, s in enumerate(b.slot)] + [(so_far.ones[at], so_far.zeros[at])]
         for k, (o, z) in enumerate(counts):
-            if leave:
-                o, z = np.maximum(o - b.bit, 0), np.maximum(z - (1 - b.bit), 0)
-                counts[k] = o, z
-            x[:, k] = np.log((o + 0.1) / (z + 0.1))
-        early = np.add(*counts[len(ORDERS) - 1])  # within the first bytes the longest order is the whole item so far
-        return x, b.gate + np.digitize(np.where(b.key == 0, early, np.add(*counts[-1])), (0.5, 4, 40))
+            o, z = counts[k] = np.maximum(o - b.bit, 0), np.maximum(z - (1 - b.bit), 0)
+            x[:, k] = log_odds(o, z)
+        return x, self.level(b, np.add(*counts[len(ORDERS) - 1]), np.add(*counts[-1]))
+
+    def scoring_inputs(self, b: Bits, so_far: SoFar) -> tuple[np.ndarray, np.ndarray]:
+        """The same for scoring, from all counts: each slot's log-odds are worked out once."""
+        if not hasattr(self, "odds"):
+            self.odds, self.longest = log_odds(self.ones, self.zeros), self.ones[len(ORDERS) - 1] + self.zeros[len(ORDERS) - 1]
+        at = so_far.at(b.key)
+        x = np.stack([*(self.odds[k][s] for k, s in enumerate(b.slot)), so_far.odds[at]], axis=1)
+        return x, self.level(b, self.longest[b.slot[len(ORDERS) - 1]], so_far.total[at])
 
     @staticmethod
     def step(odds: np.ndarray) -> np.ndarray:
@@ -209,7 +223,7 @@ class Model:
 
     def learn(self, b: Bits, so_far: SoFar, count: np.ndarray) -> None:
         """One online step over the bits of a few items, each as heavy as its count."""
-        (x, gate), w = self.inputs(b, so_far, 1), count[b.item]
+        (x, gate), w = self.inputs(b, so_far), count[b.item]
         odds = np.clip((x * self.weights[gate]).sum(1), -8, 8)
         key = gate * STEPS + self.step(odds)
         self.hits += np.bincount(key, w * b.bit, GATES * STEPS).reshape(GATES, STEPS)
@@ -221,7 +235,7 @@ class Model:
 
     def score(self, b: Bits, so_far: SoFar, n: int) -> np.ndarray:
         """log10 probability of each of the ``n`` items of some bits."""
-        x, gate = self.inputs(b, so_far)
+        x, gate = self.scoring_inputs(b, so_far)
         odds = np.clip((x * self.weights[gate]).sum(1), -8, 8)
         p = 1 / (1 + np.exp(-odds))
         at = (gate, self.step(odds))

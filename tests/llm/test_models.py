@@ -41,6 +41,42 @@ def test_language_model_learns(spark):
     assert out < 3.0  # letters at random take more than 4
 
 
+def test_language_model_scores_do_not_depend_on_partitions_and_know_repeated_texts(spark):
+    r = random.Random(9)
+    some = lambda: " ".join(f"w{r.randrange(800)}" for _ in range(120))
+    twice = some()
+    rows = [(i, some()) for i in range(60)] + [(100, twice), (102, twice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({x.doc_id: x.score for x in context_mixing.score(df.repartition(int(parts)), remainder() != 1).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(found[0][i] == pytest.approx(found[1][i], abs=1e-6) for i in found[0])
+    assert max(found[0][100], found[0][102]) > 0.6 * max(found[0][i] for i in range(60))  # log probabilities: nearer to 0
+
+
+def test_recalled_segments_equal_a_loop():
+    import numpy as np
+
+    r = random.Random(3)
+    doc = sorted(r.randrange(5) for _ in range(60))
+    asked, others, total, spelled = [r.random() < 0.8 for _ in doc], [r.choice([0, 0, 1, 7]) for _ in doc], 1000, [-r.random() * 50 for _ in doc]
+    want, past = [], {}
+    for d, a, o, s in zip(doc, asked, others, spelled, strict=True):
+        if not a:
+            want.append(s)
+            continue
+        bits = past.setdefault(d, [])
+        same = [b for k, b in enumerate(bits) if [*[2, 2], *bits][k : k + 2] == [*[2, 2], *bits][-2:]]
+        odds = sum(math.log((sum(x) + 0.4) / (len(x) - sum(x) + 0.4)) / 2 for x in (bits, same))
+        p = 1 / (1 + math.exp(-odds))
+        want.append(math.log10(p) + math.log10(o / total) if o else math.log10(1 - p) + s)
+        bits.append(int(o > 0))
+    got = context_mixing.recalled(np.arange(len(doc) + 1), np.array(others), np.array(asked), np.array(doc), np.full(len(doc), total), np.array(spelled))
+    assert got == pytest.approx(want)
+
+
 def test_codes_are_prefix_free():
     import numpy as np
 
