@@ -73,11 +73,21 @@ def identifier_class(c: Column) -> Column:
     return F.when(u.rlike(r"^\d{2}(REQ|PROC|AWRD|SYMV|PAY)\d{6,10}$"), "ADAM").when(u.rlike("^[0-9Α-Ω]{6,10}-[0-9Α-Ω]{3,4}$"), "ADA").when(u.rlike("^[0-9]{9}$"), "VAT").otherwise("OTHER")
 
 
-def decision_role(c: Column) -> Column:
-    """Role of a person by job title: the first group of terms that fits."""
-    t = normalize_lexical(F.coalesce(c, F.lit("")))
-    groups = (("BUYER", "προμηθει|procurement|purchas"), ("FINANCE", "οικονομικ|financ|budget"), ("LEGAL", "νομικ|legal"), ("TECHNICAL", "τεχνικ|technical|engineer|it "), ("EXECUTIVE", "προεδρ|διευθ|director|chief|president|mayor|δημαρχ"))
+# Roles with the beginnings of words that tell them, in order of precedence.
+ROLES = (
+    ("PROCUREMENT", "προμηθει|συμβασ|διαγωνισ|procurement|contracting"),
+    ("FINANCE", "οικονομ|δημοσιονομ|λογιστηρ|finance|accounting"),
+    ("TECHNICAL", "τεχνικ|μηχανικ|πληροφορικ|technical|engineer|digital"),
+    ("DEPARTMENT_HEAD", "διευθυν|προϊσταμ|head of|director|manager"),
+    ("SIGNATORY", "υπογραφ|δήμαρχ|περιφερειάρχ|γενικ γραμματ|signatory"),
+)
+
+
+def decision_role(title: Column, department: Column | None = None) -> Column:
+    """Role of a person by job title and department: the first group of terms that fits; STAKEHOLDER where none does."""
+    said = F.concat_ws(" ", title, department) if department is not None else F.coalesce(title, F.lit(""))
+    t = F.translate(F.lower(said), "ς", "σ")
     out = F.when(F.lit(False), F.lit(""))
-    for role, pattern in groups:
+    for role, pattern in ROLES:
         out = out.when(t.rlike(pattern), role)
     return out.otherwise("STAKEHOLDER")

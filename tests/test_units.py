@@ -89,7 +89,9 @@ def test_text_functions(spark):
     assert all(vat(v) == brute(v) for v in ("094014201", "123456789", "000000000", "094014202")) and not vat("12")
     assert one(spark, T.valid_iban(F.lit("GB82WEST12345698765432"))) and not one(spark, T.valid_iban(F.lit("GB82WEST12345698765433")))
     assert [one(spark, T.identifier_class(F.lit(x))) for x in ("23SYMV012345678", "094014201", "?")] == ["ADAM", "VAT", "OTHER"]
-    assert one(spark, T.decision_role(F.lit("Chief financial officer"))) == "FINANCE" and one(spark, T.decision_role(F.lit(None).cast("string"))) == "STAKEHOLDER"
+    role = lambda title, *unit: one(spark, T.decision_role(F.lit(title).cast("string"), *(F.lit(u) for u in unit)))
+    assert role("Finance Director") == "FINANCE" and role("Director of works") == "DEPARTMENT_HEAD" and role("Προϊστάμενος") == "STAKEHOLDER"
+    assert role(None) == "STAKEHOLDER" and role("Clerk", "Procurement unit") == "PROCUREMENT" and role("Chief financial officer") == "STAKEHOLDER"
 
 
 def test_scope_choices():
