@@ -9,7 +9,7 @@ from marketlens import registry
 #: Modules that register queries.
 MODULES: tuple[str, ...] = (
     "operators.market", "operators.lifecycle", "operators.risk", "operators.quality", "operators.scoring", "operators.linkage", "operators.search", "streaming.events", "operators.profiles",
-    "operators.extractors", "operators.normalisers", "operators.resolution", "operators.onboarding", "operators.enrichment",
+    "operators.extractors", "operators.normalisers", "operators.resolution", "operators.onboarding", "operators.enrichment", "operators.reports",
 )
 
 
