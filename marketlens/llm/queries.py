@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _name in ("q_text", "q_dedup", "q_models"):
+for _name in ("q_text", "q_dedup", "q_models", "q_vectors"):
     _m = importlib.import_module(f"marketlens.llm.{_name}")
     QUERIES.update(_m.QUERIES)
     ORACLES.update(_m.ORACLES)
