@@ -27,13 +27,24 @@ def local_session(app: str = "marketlens", cpus: str | int = "*", **conf: str) -
     return spark
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Sets the folder of checkpoints to the one the cluster names. A session on one machine, as in tests, gets a folder of
-    its own where none is named; elsewhere that is an error, as executors would not see it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A session on one machine, as in tests, gets a folder of its
+    own where none is named; elsewhere that is an error, as executors would not see it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+    if named:
+        return named
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return _own[sc.applicationId]
+
+
+_own: dict[str, str] = {}
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the folder of checkpoints to the shared one, if none is set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.lens import Lens
 from marketlens.registry import query
+from marketlens.session import shared_folder
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,7 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
 @query("stream_tumbling", "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n from events group by all")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a stream that runs once over what is there; complete mode gives all windows."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    at = f"{top}/stream-tumbling-{dt.datetime.now().timestamp():.6f}"
+    at = f"{shared_folder(spark)}/stream-tumbling-{dt.datetime.now().timestamp():.6f}"
     counts = stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
     run_once(counts, lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out"), f"{at}/ckpt", "complete")
     return spark.read.parquet(f"{at}/out").select(F.col("w.start").alias("window_start"), "event_type", "n")
