@@ -83,12 +83,16 @@ def excerpt(c: Column, terms: list[str], width: int = 420) -> Column:
     return F.substring(c, F.greatest(at - width // 2, F.lit(1)), F.lit(width))
 
 
+# Formats of public contacts.
+EMAIL, PHONE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$", r"^[+()\d\s./-]{7,30}$"
+
+
 def valid_email(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(EMAIL), F.lit(False))
 
 
 def valid_phone(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"^\+?[0-9][0-9 ()./-]{6,18}[0-9]$"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(PHONE), F.lit(False))
 
 
 def official_link(scheme: Column, identifier: Column, base: str = "https://example.org") -> Column:

@@ -12,6 +12,7 @@ from marketlens.functions import text as T
 from marketlens.lens import Lens, sql
 from marketlens.operators.extractors import _VAT_OK, ADA, MIS, fields, notices
 from marketlens.registry import query
+from marketlens.session import checkpoint_folder
 
 
 @query("decision_links", "select o_orderkey as id, o_orderkey as decision_id, cast(1.0 as double) as confidence from orders where o_orderkey % 3 = 0")
@@ -80,11 +81,27 @@ def entities_by_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_merges(entities: DataFrame, merges: DataFrame) -> DataFrame:
-    """(id, master): entities (id, identifier) after merges (id, into, reverted). A merge of two different identifiers is
-    refused, a reverted one leaves the entity as it was."""
+    """(id, master): entities (id, identifier) after merges (id, into, reverted), one row each.
+
+    A merge of two different identifiers is refused, a reverted one leaves the entity as it was. Of several live merges of an
+    entity the one into the least id counts. Chains are followed to their end; entities that merge in a circle get the least
+    id of the circle. Each turn doubles the length of the steps, so turns grow with the logarithm of the longest chain.
+    """
+    checkpoint_folder(entities.sparkSession)
     other = entities.select(F.col("id").alias("into"), F.col("identifier").alias("other"))
-    live = merges.where("not reverted").join(entities, "id").join(other, "into").where("identifier is null or other is null or identifier = other").select("id", "into")
-    return entities.join(live, "id", "left").select("id", F.coalesce("into", "id").alias("master"))
+    live = merges.where("not reverted and id <> into").join(entities, "id").join(other, "into").where("identifier is null or other is null or identifier = other")
+    one = live.groupBy("id").agg(F.min("into").alias("to"))
+    step = entities.select("id").join(one, "id", "left").select("id", F.coalesce("to", "id").alias("to"), F.least("id", F.coalesce("to", "id")).alias("least"), F.col("to").isNull().alias("done")).checkpoint()
+    most = step.where("not done").count()
+    for _ in range(most.bit_length() + 1):
+        if not step.where("not done").limit(1).count():
+            return step.select("id", F.col("to").alias("master"))
+        ahead = step.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("low"), F.col("done").alias("there"))
+        moved = step.where("not done").join(ahead, "to").select("id", F.col("far").alias("to"), F.least("least", "low").alias("least"), F.col("there").alias("done"))
+        step = step.where("done").unionByName(moved).checkpoint()
+    # what isn't done leads to a circle, and a step of this length has gone round it
+    round_ = step.where("not done").select(F.col("id").alias("to"), F.col("least").alias("low"))
+    return step.join(round_, "to", "left").select("id", F.when(F.col("done"), F.col("to")).otherwise(F.col("low")).alias("master"))
 
 
 @query("merged_entities", "select c_custkey as id, case when c_custkey % 10 = 1 and c_custkey > 1 and c_custkey % 20 <> 1 and c_nationkey % 2 = 0 then c_custkey - 1 else c_custkey end as master from customer")
