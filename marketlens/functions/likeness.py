@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LETTERS = 64
 
@@ -16,7 +17,7 @@ def normal(c: Column) -> Column:
     return F.upper(F.trim(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 M / T of two texts: M characters in longest matching blocks found in turn, T all characters."""
     out, matcher, last = [], SequenceMatcher(), None

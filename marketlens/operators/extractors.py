@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions import spans
 from marketlens.functions import text as T
 from marketlens.lens import Lens
+from marketlens.operators import dossier
 from marketlens.registry import query
 
 #: Genitive month names, in order.
@@ -47,10 +49,19 @@ def notices(lens: Lens) -> DataFrame:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as (value, start, end), places counted from 0: the pieces between matches tell where they are."""
+    """All matches of a pattern as (value, start, end), places counted from 0: one walk over the pieces between matches carries
+    the place along."""
     values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda n, j: n + F.char_length(between[j]) + F.when(j > 0, F.char_length(F.get(values, j - 1))).otherwise(0))
-    return F.transform(values, lambda v, i: F.struct(v.alias("value"), start(i).alias("start"), (start(i) + F.char_length(v)).alias("end")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    turns = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def walk(a: Column, i: Column) -> Column:
+        start = a["at"] + F.char_length(F.get(between, i))
+        return F.struct((start + F.char_length(F.get(values, i))).alias("at"), F.array_append(a["starts"], start).alias("starts"))
+
+    starts = F.aggregate(turns, none, walk, lambda a: a["starts"])
+    both = F.transform(F.arrays_zip(values.alias("value"), starts.alias("start")), lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), (x["start"] + F.char_length(x["value"])).alias("end")))
+    return both
 
 
 def fields(docs: DataFrame, pattern: str) -> DataFrame:
@@ -58,8 +69,11 @@ def fields(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("id", F.explode(matches(F.col("text"), pattern)).alias("m")).select("id", "m.*")
 
 
-ADA = "[0-9Α-Ω]{6,10}-[0-9Α-Ω]{3,4}"
-ADAM = "[0-9]{2}(?:REQ|PROC|AWRD|SYMV|PAY)[0-9]{6,10}"
+#: No letter or digit before, and none behind.
+_FREE, _END = "(?<![\\p{L}0-9_])", "(?![\\p{L}0-9_])"
+# Formats of numbers; the SQL of the queries, whose texts have blanks around them, needs no borders.
+_ADA, _ADAM = "[0-9Α-Ω]{6,10}-[Α-Ω]{3,4}", "[0-9]{2}(?:REQ|PROC|AWRD|SYMV|PAY)[0-9]{6,10}"
+ADA, ADAM = _FREE + _ADA + _END, _FREE + _ADAM + _END
 MIS = "(?:ΟΠΣ|MIS) [0-9]{5,8}"
 PROTOCOL = "αρ\\. πρωτ\\. [0-9]+/[0-9]{4}"
 DURATION = "[0-9]+ (?:ημέρες|μήνες|έτη)"
@@ -70,13 +84,13 @@ def _spans(pattern: str, value: str) -> str:
     return f"with {_NOTICES} select id, m as value, cast(strpos(text, m) - 1 as int) as start, cast(strpos(text, m) - 1 + length(m) as int) as \"end\"{value} from (select id, text, unnest(regexp_extract_all(text, '{pattern}')) as m from notices)"
 
 
-@query("field_ada", _spans(ADA, ""))
+@query("field_ada", _spans(_ADA, ""))
 def field_ada(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision numbers."""
     return fields(notices(Lens(spark, sf_dir)), ADA)
 
 
-@query("field_adam", _spans(ADAM, ", case regexp_extract(m, '[A-Z]+') " + " ".join(f"when '{k}' then '{v}'" for k, v in CATEGORIES.items()) + " end as category"))
+@query("field_adam", _spans(_ADAM, ", case regexp_extract(m, '[A-Z]+') " + " ".join(f"when '{k}' then '{v}'" for k, v in CATEGORIES.items()) + " end as category"))
 def field_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry numbers with the kind of act they name."""
     kind = F.regexp_extract("value", "[A-Z]+", 0)
@@ -92,8 +106,8 @@ _VAT_OK = "(list_sum(list_transform(range(1, 9), lambda i: cast(substr(v, i, 1)
 def vat_numbers(docs: DataFrame) -> DataFrame:
     """(id, value, labelled, valid): labelled numbers always, bare ones only if their check sum is right; a number that a
     label has claimed isn't reported again as a bare one."""
-    labelled = fields(docs, "ΑΦΜ:? [0-9]{9}\\b").select("id", F.expr("right(value, 9)").alias("value"), (F.col("end") - 9).alias("start"), F.lit(True).alias("labelled"))
-    bare = fields(docs, "\\b[0-9]{9}\\b").select("id", "value", "start", F.lit(False).alias("labelled"))
+    labelled = fields(docs, f"(?iu)(?:ΑΦΜ|Α\\.Φ\\.Μ\\.?|VAT)\\s*[:.]?\\s*[0-9]{{9}}{_END}").select("id", F.expr("right(value, 9)").alias("value"), (F.col("end") - 9).alias("start"), F.lit(True).alias("labelled"))
+    bare = fields(docs, f"{_FREE}[0-9]{{9}}{_END}").select("id", "value", "start", F.lit(False).alias("labelled"))
     both = labelled.unionByName(bare).groupBy("id", "start", "value").agg(F.max("labelled").alias("labelled")).withColumn("valid", T.valid_vat(F.col("value")))
     return both.where("labelled or valid").select("id", "value", "labelled", "valid")
 
@@ -144,12 +158,10 @@ def field_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amounts(docs: DataFrame) -> DataFrame:
-    """(id, value, amount, vat): amounts with a currency sign and the nearest word on tax within 40 characters after them."""
-    found = docs.select("id", "text", F.explode(matches(F.col("text"), "[0-9]{1,3}(?:\\.[0-9]{3})*(?:,[0-9]{1,2})? €")).alias("m")).select("id", "text", "m.*")
-    after = F.substring("text", F.col("end") + 1, F.lit(40))
-    vat = F.when(after.rlike("^[^0-9]*?χωρίς ΦΠΑ"), "WITHOUT").when(after.rlike("^[^0-9]*?με ΦΠΑ"), "WITH").otherwise("UNKNOWN")
-    amount = F.translate(F.regexp_replace("value", "[^0-9,]", ""), ",", ".").try_cast("decimal(20,2)")
-    return found.select("id", "value", amount.alias("amount"), vat.alias("vat"))
+    """(id, value, amount, vat): amounts next to a currency in all their shapes, with the nearest word on tax."""
+    pages = docs.select(F.col("id").alias("document_id"), F.lit(0).alias("page_number"), F.lit(1.0).alias("scale"), "text")
+    found = dossier.amounts(spans.find(pages, "text", {**dossier.AMOUNTS, **{f"tax_{k}": v for k, v in dossier.TAX.items()}}))
+    return found.select(F.col("document_id").alias("id"), "value", "amount", F.regexp_replace("tax", "_VAT$", "").alias("vat"))
 
 
 @query("field_amounts", f"""with {_NOTICES} select id, value, cast(replace(regexp_replace(value, '[^0-9,]', '', 'g'), ',', '.') as decimal(20,2)) as amount, case when contains(text, 'χωρίς ΦΠΑ') then 'WITHOUT' else 'WITH' end as vat
