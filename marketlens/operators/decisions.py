@@ -71,15 +71,15 @@ def by_title_amount(notices: DataFrame, acts: DataFrame, days: int = DAYS, toler
 
 @query("decision_search")
 def decision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders as acts, closed ones of the last priority as decisions: organisations are the buyer's segment and nation,
-    titles the first line's part and brand; decisions write their organisation in another way."""
+    """Urgent open orders as acts, and a decision on every third of them, which writes its texts in another way. Organisations
+    are digests of the buyer's nation and segment (their names are all alike), titles a digest of the order and its part."""
     lens = Lens(spark, sf_dir)
     c = lens.table("customer", "c_custkey", "c_mktsegment", "c_nationkey").join(lens.table("nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
-    a = lens.acts.select("act_id", "status", "procedure_type", "buyer_id").join(lens.primary, "act_id").join(c, F.col("buyer_id") == F.col("c_custkey"))
-    a = a.select("act_id", "status", "procedure_type", F.concat_ws(" ", "c_mktsegment", "n_name").alias("organisation"), F.concat_ws(" ", "title", "cpv_code").alias("title"))
-    late = (F.col("status") == "F") & (F.col("procedure_type") == "5-LOW")
-    d = a.where(late).select(F.col("act_id").alias("decision_id"), F.concat(F.lit("the "), "organisation").alias("organisation"), "title")
-    return by_search(a.where("status = 'O' and procedure_type = '1-URGENT'").select("act_id", "organisation", "title"), d)
+    a = lens.acts.where("status = 'O' and procedure_type = '1-URGENT'").select("act_id", "buyer_id").join(lens.primary, "act_id").join(c, F.col("buyer_id") == F.col("c_custkey"))
+    digest = lambda name, n: F.left(F.md5(F.col(name).cast("string").cast("binary")), F.lit(n))
+    a = a.select("act_id", F.concat_ws(" ", digest("n_name", 16), digest("c_mktsegment", 8)).alias("organisation"), F.concat_ws(" ", digest("act_id", 24), "title").alias("title"))
+    d = a.where("act_id % 3 = 0").select((-F.col("act_id")).alias("decision_id"), F.concat(F.lit("the "), "organisation").alias("organisation"), F.concat("title", F.lit(" decision")).alias("title"))
+    return by_search(a, d)
 
 
 @query("notice_title_links")
