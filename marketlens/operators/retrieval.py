@@ -52,6 +52,11 @@ class Wanted:
         return sorted({w for g in self.groups for p in g for w in p})
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _most(cols: list[Column]) -> Column:
     return F.greatest(*cols) if len(cols) > 1 else cols[0]
 
@@ -86,30 +91,35 @@ def cover_density(ts: Column, wanted: Wanted) -> Column:
 
     def walk(a: Column, h: Column) -> Column:
         x, k = h["x"], h["k"]
-        now = {n: F.when(x[n].isNotNull(), F.struct(x[n].alias("p"), (k - (x["i"] - x[n])).alias("k"))).otherwise(a[n]) for n in names}
-        full = reduce(Column.__and__, (c.isNotNull() for c in now.values()))
-        first = F.least(*now.values()) if len(now) > 1 else now[names[0]]
-        cover = full & (first["p"] > a["begun"])
-        value = COVER_WEIGHT / (1 + (x["i"] - first["p"]) - (k - first["k"]))
-        return F.struct(
-            *(c.alias(n) for n, c in now.items()), F.when(cover, first["p"]).otherwise(a["begun"]).alias("begun"),
-            (a["rank"] + F.when(cover, value).otherwise(0.0)).alias("rank"), (a["covers"] + cover.cast("int")).alias("covers"),
-        )
+        now = F.struct(*(F.when(x[n].isNotNull(), F.struct(x[n].alias("p"), (k - (x["i"] - x[n])).alias("k"))).otherwise(a[n]).alias(n) for n in names))
+        full = lambda s: reduce(Column.__and__, (s[n].isNotNull() for n in names))
+        first = lambda s: F.when(full(s), F.least(*(s[n] for n in names)) if len(names) > 1 else s[names[0]])
+
+        def step(v: Column) -> Column:
+            first, cover = v["first"], F.coalesce(v["first"]["p"] > a["begun"], F.lit(False))
+            value = COVER_WEIGHT / (1 + (x["i"] - first["p"]) - (k - first["k"]))
+            return F.struct(
+                *(v["now"][n].alias(n) for n in names), F.when(cover, first["p"]).otherwise(a["begun"]).alias("begun"),
+                (a["rank"] + F.when(cover, value).otherwise(0.0)).alias("rank"), (a["covers"] + cover.cast("int")).alias("covers"),
+            )
+
+        return _let(now, lambda s: _let(F.struct(s.alias("now"), first(s).alias("first")), step))
 
     return F.aggregate(hits, start, walk, lambda a: F.struct(a["rank"].alias("rank"), a["covers"].alias("covers")))
 
 
 def rank_pages(pages: DataFrame, wanted: Wanted, text: str = "text", literal: str | None = None) -> DataFrame:
     """Pages that fit, with ``rank`` and ``covers``; with ``literal``, also those that hold this text as it stands (in any
-    case), at rank 0. Null and empty texts don't fit. Nothing is shuffled; texts without the words are never split."""
+    case), at rank 0. Null and empty texts don't fit. Columns of these
+    names that pages have already are replaced. Nothing is shuffled; texts without the words are never split."""
     found = F.lit(False) if literal is None else F.contains(F.lower(F.col(text)), F.lit(literal.strip().lower()))
     maybe = _may_hold(F.col(text), wanted)
-    split = pages.where(maybe | found).withColumn("_ts", words(F.col(text)))
-    ts = F.col("_ts")
-    barred = reduce(Column.__or__, (_holds(ts, word_list(p)) for p in wanted.none if word_list(p)), F.lit(False))
-    ranked = split.withColumn("_r", F.when(maybe & ~barred, cover_density(ts, wanted)))
-    out = ranked.withColumns({"rank": F.coalesce(F.col("_r.rank"), F.lit(0.0)), "covers": F.coalesce(F.col("_r.covers"), F.lit(0))})
-    return out.where((F.col("covers") > 0) | found).drop("_ts", "_r")
+    barred = lambda ts: reduce(Column.__or__, (_holds(ts, word_list(p)) for p in wanted.none if word_list(p)), F.lit(False))
+    nothing = F.struct(F.lit(0.0).alias("rank"), F.lit(0).alias("covers"))
+    ranked = F.when(maybe, _let(words(F.col(text)), lambda ts: F.when(barred(ts), nothing).otherwise(cover_density(ts, wanted)))).otherwise(nothing)
+    # a generator works the rank out once; a column would be copied into the filter
+    out = pages.drop("rank", "covers").where(maybe | found).select("*", F.inline(F.array(ranked)))
+    return out.where((F.col("covers") > 0) | found)
 
 
 def excerpt(text: Column, terms: list[str]) -> Column:
