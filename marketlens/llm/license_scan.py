@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.common import fresh_names
 from marketlens.llm.license_rules import Rule, rules
 
 #: Base phrases and their labels.
@@ -52,9 +53,9 @@ def _spaces(c: Column) -> Column:
     return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def _times(phrase: str) -> Column:
+def _times(hits: str, phrase: str) -> Column:
     """How often a base phrase was hit."""
-    return F.when(F.col("_hits").isNull(), 0).otherwise(F.size(F.filter("_hits", lambda h: h == phrase))).cast("long")
+    return F.when(F.col(hits).isNull(), 0).otherwise(F.size(F.filter(hits, lambda h: h == phrase))).cast("long")
 
 
 def _bounded(pattern: str) -> str:
@@ -98,9 +99,14 @@ def _kept(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), start, step, lambda a: a["kept"])
 
 
+#: The columns that ``scan`` adds.
+RESULT = ("n_words", "base_counts", "base_first", "base_last", "detections", "labels", "score")
+
+
 def scan(df: DataFrame, text: str = "text", signatures: tuple[Rule, ...] | None = None) -> DataFrame:
     """``df`` with n_words, base_counts (map), base_first, base_last, detections (array of label, rule, priority,
-    start, end: kept spans of words, end included), labels (sorted, distinct) and score."""
+    start, end: kept spans of words, end included), labels (sorted, distinct) and score. Columns of these names that ``df`` has
+    already, in any case of letters, are replaced; all others come through."""
     signatures = rules() if signatures is None else signatures
     fields = lambda i, r: F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority"), F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.name).alias("name"), F.lit(_bounded(r.pattern)).alias("pattern"))
     by_gate: dict[str, list[Column]] = {}
@@ -108,25 +114,26 @@ def scan(df: DataFrame, text: str = "text", signatures: tuple[Rule, ...] | None
         by_gate.setdefault(gate(r), []).append(fields(i, r))
     # a text is searched for each gate once; only behind a gate that it holds are the rules' own keywords looked for
     tables = F.array(*(F.struct(F.lit(g).alias("gate"), F.array(*rs).alias("rules")) for g, rs in by_gate.items()))
-    out = df.withColumn("_words", words_text(F.col(text)))
-    w = F.col("_words")
+    words, cuts, hits, kept = fresh_names(df, "words", "cuts", "hits", "kept")
+    out = df.withColumn(words, words_text(F.col(text)))
+    w = F.col(words)
     base = _bounded("|".join(BASE))
     has_base = F.greatest(*(F.contains(w, F.lit(p)).cast("int") for p in BASE)) == 1
-    out = out.withColumn("_cuts", F.when(has_base, F.split(w, base, -1)))
-    out = out.withColumn("_hits", F.when(has_base, F.regexp_extract_all(w, F.lit(base), F.lit(0))))
-    n_base = F.when(F.col("_hits").isNull(), 0).otherwise(F.size("_hits"))
-    all_before = F.char_length(w) - F.char_length(F.element_at("_cuts", -1)) - F.char_length(F.element_at("_hits", -1))
+    out = out.withColumn(cuts, F.when(has_base, F.split(w, base, -1)))
+    out = out.withColumn(hits, F.when(has_base, F.regexp_extract_all(w, F.lit(base), F.lit(0))))
+    n_base = F.when(F.col(hits).isNull(), 0).otherwise(F.size(hits))
+    all_before = F.char_length(w) - F.char_length(F.element_at(cuts, -1)) - F.char_length(F.element_at(hits, -1))
     opened = F.flatten(F.transform(F.filter(tables, lambda t: F.contains(w, t["gate"])), lambda t: t["rules"]))
     tried = F.filter(opened, lambda r: F.contains(w, r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: _spans(w, r, r["pattern"])))
-    out = out.withColumn("_kept", _kept(found))
+    out = out.withColumn(kept, _kept(found))
     return out.select(
-        *df.columns,
+        *(c for c in df.columns if c.lower() not in RESULT),
         _count_words(w).cast("long").alias("n_words"),
-        F.map_from_arrays(F.array(*(F.lit(v) for v in BASE.values())), F.array(*(_times(p) for p in BASE))).alias("base_counts"),
-        F.when(n_base > 0, _spaces(F.element_at("_cuts", 1))).cast("long").alias("base_first"),
+        F.map_from_arrays(F.array(*(F.lit(v) for v in BASE.values())), F.array(*(_times(hits, p) for p in BASE))).alias("base_counts"),
+        F.when(n_base > 0, _spaces(F.element_at(cuts, 1))).cast("long").alias("base_first"),
         F.when(n_base > 0, _spaces(F.substring(w, F.lit(1), all_before))).cast("long").alias("base_last"),
-        F.transform("_kept", lambda x: F.struct(x["label"].alias("label"), x["rule"].alias("rule"), x["priority"].alias("priority"), x["start"].alias("start"), (-x["minus_end"]).alias("end"))).alias("detections"),
-        F.array_sort(F.array_distinct(F.transform("_kept", lambda x: x["label"]))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("_kept", lambda x: F.element_at(F.create_map(*(v for p, s in WEIGHT.items() for v in (F.lit(p), F.lit(s)))), x["priority"]))), F.lit(0.0)).alias("score"),
+        F.transform(kept, lambda x: F.struct(x["label"].alias("label"), x["rule"].alias("rule"), x["priority"].alias("priority"), x["start"].alias("start"), (-x["minus_end"]).alias("end"))).alias("detections"),
+        F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.transform(kept, lambda x: F.element_at(F.create_map(*(v for p, s in WEIGHT.items() for v in (F.lit(p), F.lit(s)))), x["priority"]))), F.lit(0.0)).alias("score"),
     )

@@ -131,3 +131,12 @@ def test_chat_round_trip_of_odd_texts(spark):
 def test_chat_fold(spark, log, want):
     df = spark.createDataFrame([(1, *e) for e in log], "conv_id long, seq long, turn long, kind string, role string, text string")
     assert [(r.role, r.text) for r in chat_format.fold(df).orderBy("turn").collect()] == want
+
+
+def test_license_scan_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "MIT License", 5, "mine", "cut"), (2, "cc by", 6, "too", None)], "doc_id long, text string, _words int, Labels string, _cuts string")
+    out = license_scan.scan(df)
+    assert sorted(c.lower() for c in out.columns) == sorted({"doc_id", "text", "_words", "_cuts", *license_scan.RESULT})
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[1]["_words"], got[1]["_cuts"], got[2]["_words"], got[2]["_cuts"]) == (5, "cut", 6, None)
+    assert got[1]["labels"] == ["mit"] and got[2]["base_counts"]["cc-by"] == 1 and got[2]["n_words"] == 2
