@@ -14,6 +14,7 @@ Empty and null texts have no words, no labels and score 0. Rows are never joined
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from marketlens.llm.license_rules import Rule, rules
 BASE: dict[str, str] = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Score of a kept detection by its rule's priority.
 WEIGHT: dict[int, float] = {1: 1.0, 2: 0.95, 3: 0.85, 4: 0.7, 5: 0.5}
+#: Signs around a match; no word holds them.
+OPEN, CLOSE = "\x01", "\x02"
+#: Spans of one run, and runs of one group.
+RUN = 64
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The gate of most rules: what any match of them holds, beside their keyword.
 COMMON = "licen"
@@ -63,40 +68,66 @@ def _bounded(pattern: str) -> str:
 
 
 def _spans(words: Column, rule: Column, pattern: Column) -> Column:
-    """The word spans of all matches: what split() leaves between matches tells where each begins."""
-    between, found = F.split(words, pattern, F.lit(-1)), F.regexp_extract_all(words, pattern, F.lit(0))
-    pieces = F.arrays_zip(between.alias("b"), found.alias("f"))
-    walked = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda a, p: F.when(p["f"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + _spaces(p["b"]) + _spaces(p["f"])).alias("at"),
-                F.array_append(a["spans"], F.struct((a["at"] + _spaces(p["b"])).alias("start"), (a["at"] + _spaces(p["b"]) + _spaces(p["f"])).alias("end"))).alias("spans"),
-            )
-        ),
-        lambda a: a["spans"],
-    )
-    return F.transform(walked, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["name"].alias("rule")))
+    """The word spans of all matches, in time linear in text and matches: signs that no word holds are put around each match,
+    and the words that bear them tell the places."""
+    marked = F.regexp_replace(words, pattern, F.lit(f"{OPEN}$0{CLOSE}"))
+
+    def spans(tokens: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(tokens) - 1)
+        first = F.filter(places, lambda i: F.startswith(F.get(tokens, i), F.lit(OPEN)))
+        last = F.filter(places, lambda i: F.endswith(F.get(tokens, i), F.lit(CLOSE)))
+        named = {"priority": rule["priority"], "rank": rule["rank"], "label": rule["label"], "rule": rule["name"]}
+        return F.zip_with(first, last, lambda i, j: F.struct(i.alias("start"), (-j).alias("minus_end"), *(c.alias(n) for n, c in named.items())))
+
+    # outer lambdas bind what the inner ones would work out again for each place; most rules that are tried match nowhere
+    hit = F.filter(F.array(marked), lambda m: m != words)
+    return F.flatten(F.transform(F.transform(hit, lambda m: F.split(m, " ")), spans))
+
+
+def _bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(items: Column) -> Column:
+    """The items in runs of RUN; one empty run if there are none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.slice(items, i + 1, F.lit(RUN)))
+
+
+def _farthest(ends: Column, start: Column) -> Column:
+    """For each priority the farthest of several ends."""
+    return F.aggregate(ends, start, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
 
 
 def _kept(found: Column) -> Column:
-    """Containment suppression. Spans come sorted by start, then longest, then best rule; for each priority the
-    farthest end so far is carried along, and a span that ends no later than that of its own or a better one is inside."""
-    ends = [f"e{p}" for p in WEIGHT]
-    kind = "array<struct<start:int,minus_end:int,priority:int,rank:int,label:string,rule:string>>"
-
-    def step(a: Column, x: Column) -> Column:
-        best = F.greatest(*(F.when(x["priority"] >= p, a[f"e{p}"]).otherwise(-1) for p in WEIGHT))
-        return F.struct(
-            *(F.when(x["priority"] == p, F.greatest(a[f"e{p}"], -x["minus_end"])).otherwise(a[f"e{p}"]).alias(f"e{p}") for p in WEIGHT),
-            F.when(best >= -x["minus_end"], a["kept"]).otherwise(F.array_append(a["kept"], x)).alias("kept"),
-        )
-
-    start = F.struct(*(F.lit(-1).alias(e) for e in ends), F.array().cast(kind).alias("kept"))
-    # a better priority that begins at the same place but later in order must count too: sorting puts longer spans first,
-    # and of equal spans the better priority first, so whatever contains a span stands before it
-    return F.aggregate(F.array_sort(found), start, step, lambda a: a["kept"])
+    """Containment suppression. Spans come sorted by start, then longest, then best rule, so whatever contains a span stands
+    before it: a span is dropped if one of its own or a better priority before it ends no sooner.
+
+    An accumulator that gathers spans would be copied at each of them. So spans are cut into runs, and runs into groups: the
+    farthest ends of earlier groups and of earlier runs of the group stand for what is before a run, and inside a run spans
+    are compared with those before them."""
+    none = F.array(*(F.lit(-1) for _ in WEIGHT))
+
+    def ends(run: Column) -> Column:
+        each = lambda p: F.transform(F.filter(run, lambda y: y["priority"] <= p), lambda y: -y["minus_end"])
+        return F.transform(F.array(*(F.lit(p) for p in WEIGHT)), lambda p: F.coalesce(F.array_max(each(p)), F.lit(-1)))
+
+    def left(run: Column, before: Column) -> Column:
+        inside = lambda x, j: F.exists(F.slice(run, 1, j), lambda y: (y["priority"] <= x["priority"]) & (y["minus_end"] <= x["minus_end"]))
+        return F.filter(run, lambda x, j: (F.get(before, x["priority"] - 1) < -x["minus_end"]) & ~inside(x, j))
+
+    def over(runs: Column, by_run: Column) -> Column:
+        whole = F.transform(_runs(by_run), lambda g: _farthest(g, none))
+        earlier = _bind(whole, lambda gs: F.transform(gs, lambda _, g: _farthest(F.slice(gs, 1, g), none)))
+        first = lambda k: k - k % RUN
+        reached = lambda gs, k: _farthest(F.slice(by_run, first(k) + 1, k % RUN), F.get(gs, F.floor(k / RUN).cast("int")))
+        return _bind(earlier, lambda gs: F.flatten(F.transform(runs, lambda run, k: _bind(reached(gs, k), lambda before: left(run, before)))))
+
+    return _bind(_runs_sorted(found), lambda runs: _bind(F.transform(runs, ends), lambda by_run: over(runs, by_run)))
+
+
+def _runs_sorted(found: Column) -> Column:
+    return _bind(F.array_sort(found), _runs)
 
 
 #: The columns that ``scan`` adds.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -89,6 +90,32 @@ def test_license_scan_equals_brute_force(spark):
         assert 0 <= r.score <= 1
 
 
+def test_license_scan_of_many_hits(spark):
+    """More spans than a group of runs holds, with containers in the same run, an earlier one and an earlier group."""
+    r = random.Random(5)
+    parts = ["licensed under the apache license version 2 0", "all rights reserved", "copyright 2020", "spdx license identifier mit", "x"]
+    t = " ".join(r.choice(parts) for _ in range(4_000))
+    assert len(t) > 60_000
+    (got,) = license_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    w, spans = " ".join(WORD.findall(t)), []
+    for rank, rule in enumerate(rules()):
+        for m in re.finditer(f"(?<![^ ])(?:{rule.pattern})(?![^ ])", w):
+            start = w[: m.start()].count(" ")
+            spans.append((start, -start - m[0].count(" "), rule.priority, rank, rule.label, rule.name))
+    spans.sort()
+    assert len(spans) > license_scan.RUN**2
+    farthest, want = {p: -1 for p in license_scan.WEIGHT}, []
+    for start, end, priority, _, label, name in spans:
+        if max(e for p, e in farthest.items() if p <= priority) < -end:
+            want.append((label, name, priority, start, -end))
+        farthest[priority] = max(farthest[priority], -end)
+    assert [tuple(d) for d in got.detections] == want and 0 < len(want) < len(spans)
+    # a container that lies a group before what it holds
+    long = license_scan.Rule("whole", "whole", "begin", 1, "begin .* end")
+    (got,) = license_scan.scan(spark.createDataFrame([(1, "begin " + "copyright 2020 x " * 4_500 + "end copyright 2021")], "doc_id long, text string"), signatures=(long, *rules())).collect()
+    assert [(d.label, d.start) for d in got.detections] == [("whole", 0), (next(x.label for x in rules() if x.name == "copyright-line"), 13_502)]
+
+
 def test_license_rules_are_gated_by_their_keywords():
     assert len(rules()) > 300 and len({r.name for r in rules()}) == len(rules())
     for r in rules():
