@@ -10,7 +10,7 @@ from marketlens import registry
 MODULES: tuple[str, ...] = (
     "operators.market", "operators.lifecycle", "operators.risk", "operators.quality", "operators.scoring", "operators.linkage", "operators.search", "streaming.events", "operators.profiles",
     "operators.extractors", "operators.normalisers", "operators.resolution", "operators.onboarding", "operators.enrichment", "operators.reports",
-    "operators.ingest", "operators.dossier", "operators.places", "operators.decisions", "operators.retrieval", "operators.chain", "operators.bundle", "streaming.changes",
+    "operators.ingest", "operators.dossier", "operators.places", "operators.decisions", "operators.retrieval", "operators.chain", "operators.bundle", "operators.entities", "streaming.changes",
 )
 
 
