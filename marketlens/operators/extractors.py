@@ -160,7 +160,7 @@ def field_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def amounts(docs: DataFrame) -> DataFrame:
     """(id, value, amount, vat): amounts next to a currency in all their shapes, with the nearest word on tax."""
     pages = docs.select(F.col("id").alias("document_id"), F.lit(0).alias("page_number"), F.lit(1.0).alias("scale"), "text")
-    found = dossier.amounts(spans.find(pages, "text", {**dossier.AMOUNTS, **{f"tax_{k}": v for k, v in dossier.TAX.items()}}))
+    found = dossier.amounts(spans.find(pages, "text", {**{k: (v, None, dossier.NEEDED[k]) for k, v in dossier.AMOUNTS.items()}, **{f"tax_{k}": v for k, v in dossier.TAX.items()}}))
     return found.select(F.col("document_id").alias("id"), "value", "amount", F.regexp_replace("tax", "_VAT$", "").alias("vat"))
 
 
