@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LETTERS = 64
-
 
 def normal(c: Column) -> Column:
     """Trimmed and in capitals; null is empty."""
@@ -36,37 +35,56 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(_ratio(x, y))
 
 
-def letters(c: Column) -> Column:
-    """How often each of 64 classes of characters occurs: what two texts share of these bounds their matching blocks."""
-    codes = F.filter(F.split(c, ""), lambda x: x != "")
-    each = F.transform(codes, lambda x: F.pmod(F.xxhash64(x), F.lit(_LETTERS)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(_LETTERS - 1)), lambda k: F.size(F.filter(each, lambda e: e == k)))
-
-
 def by_length(a: Column, b: Column) -> Column:
     """A bound from above by lengths alone."""
     return 2.0 * F.least(F.char_length(a), F.char_length(b)) / F.greatest(F.char_length(a) + F.char_length(b), F.lit(1))
 
 
-def by_letters(a: Column, b: Column, m: Column, n: Column) -> Column:
-    """A bound from above by shared classes of characters (``a``, ``b`` of two texts of ``m`` and ``n`` characters)."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return 2.0 * both / F.greatest(m + n, F.lit(1))
+def _common(x: str, masks: dict[str, int], full: int) -> int:
+    """Length of the longest common subsequence of ``x`` and the text of ``masks`` (its places by character), a bit a place:
+    matching blocks found in turn are a common subsequence, so they can't hold more."""
+    row = full
+    for c in x:
+        hit = row & masks.get(c, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return (row ^ full).bit_count()
+
+
+def _at_least(least: float) -> Callable[[Column, Column], Column]:
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        """As ``_ratio`` where that is at least ``least``, else 0: pairs that a bound rules out aren't searched."""
+        out, matcher, last, masks, full = [], SequenceMatcher(), None, {}, 0
+        for x, y in zip(a, b, strict=True):
+            if y != last:
+                last, masks, full, ready = y, {}, (1 << len(y)) - 1, False
+                for i, c in enumerate(y):
+                    masks[c] = masks.get(c, 0) | 1 << i
+            r = 2.0 * _common(x, masks, full) / max(len(x) + len(y), 1)
+            if r >= least - 1e-9:
+                if not ready:
+                    matcher.set_seq2(y)
+                    ready = True
+                matcher.set_seq1(x)
+                r = matcher.ratio()
+            out.append(r if r >= least else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return ratio
 
 
 def like_pairs(pairs: DataFrame, compared: list[tuple[str, str, float]]) -> DataFrame:
     """Of ``pairs`` those whose columns are at least as like as asked: ``compared`` holds (column, column, least likeness).
 
-    All bounds by length come first, then bounds by letters, then the exact search, each on what is left; a likeness column
-    ``like_<k>`` is added for each comparison. Empty texts are like nothing.
+    All bounds by length come first, then for each comparison a bound by common subsequences and, on what is left, the exact
+    search; a likeness column ``like_<k>`` is added for each comparison. Empty texts are like nothing.
     """
     for a, b, least in compared:
         pairs = pairs.where((F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "") & (by_length(normal(F.col(a)), normal(F.col(b))) >= least - 1e-9))
-    for a, b, least in compared:
-        x, y = normal(F.col(a)), normal(F.col(b))
-        pairs = pairs.where(by_letters(letters(x), letters(y), F.char_length(x), F.char_length(y)) >= least - 1e-9)
     for k, (a, b, least) in enumerate(compared):
-        pairs = pairs.withColumn(f"like_{k}", similarity(F.col(a), F.col(b))).where(F.col(f"like_{k}") >= least)
+        like = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), _at_least(least)(normal(F.col(a)), normal(F.col(b))))
+        pairs = pairs.withColumn(f"like_{k}", like).where(F.col(f"like_{k}") >= least)
     return pairs
 
 

@@ -84,3 +84,21 @@ def test_contacts(spark):
     rows = [("210 1234567", True), ("+30(210)123-45.67", True), ("123456", False), ("ext 5551234", False), ("1" * 31, False), (None, False)]
     df = spark.createDataFrame(rows, "c string, want boolean")
     assert all(r.want == r.got for r in df.select("want", N.valid_phone(F.col("c")).alias("got")).collect())
+
+
+def test_bound_by_common_subsequences_loses_no_like_pair(spark):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from marketlens.functions import likeness
+
+    rnd = Random(7)
+    text = lambda: "".join(rnd.choice("AB Σ1") for _ in range(rnd.randint(0, 14)))
+    rows = [(i, text(), text()) for i in range(600)] + [(900, None, "A"), (901, "ab", "AB ")]
+    got = {r.i: r.like_0 for r in likeness.like_pairs(spark.createDataFrame(rows, "i int, a string, b string"), [("a", "b", 0.5)]).collect()}
+    norm = lambda s: (s or "").strip(" ").upper()
+    want = {i: r for i, a, b in rows if a and b and norm(a) and (r := SequenceMatcher(None, norm(a), norm(b)).ratio()) >= 0.5}
+    assert got == want
+    y = "HARBOUR"
+    masks = {c: sum(1 << i for i, d in enumerate(y) if c == d) for c in y}
+    assert likeness._common("ARBOR", masks, (1 << len(y)) - 1) == 5 and likeness._common("RUOBRAH", masks, (1 << len(y)) - 1) == 3
