@@ -3,7 +3,7 @@
 Pairs come from keys, never from crossing two tables: organisations meet by a word that both labels have (as a search for
 the label would find them), titles within a pair of organisations by a word of theirs. Equal (organisation, title) texts are
 one row with a count beforehand, so a title that thousands of acts repeat costs one comparison. What is left goes through
-bounds by length and letters before the exact search for matching blocks.
+bounds by length and common subsequences before the exact search for matching blocks.
 """
 
 from __future__ import annotations
