@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import tokens
 from marketlens.llm.common import chunks, cut, fresh_names, hold, short_batches, utf8
-from marketlens.llm.near import Verify, classes
+from marketlens.llm.near import Texts, classes
 
 SHINGLE = 5
 SKETCHES = 16
@@ -37,10 +37,10 @@ SIMILARITY = 0.8
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def labelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled shingles of all texts in order, and where each text's begin."""
+def labelled(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled shingles of ``k`` words of all texts in order, and where each text's begin."""
     words, begins = tokens.words(texts)
-    h, begins = tokens.shingles(words, begins, SHINGLE)
+    h, begins = tokens.shingles(words, begins, k)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(begins))
     own = tokens.mix(h ^ tokens.mix(doc + np.uint64(1)))
     order = np.argsort(own, kind="stable")
@@ -126,6 +126,15 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return short_batches(docs).select("doc", F.xxhash64("text").alias("id"), "text").mapInArrow(run, "doc long, id long, size long, keys array<long>")
 
 
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, tokens): the labelled words of each text. Aligned words are common ones, so linked texts share as many of these."""
+    for b in batches:
+        texts = utf8(b.column(1))
+        for lo, hi in chunks(texts):
+            x, begins = labelled(texts[lo:hi], 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(x.view(np.int64)))], names=["id", "tokens"])
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         left, right = utf8(b.column(2)), utf8(b.column(3))
@@ -143,7 +152,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = cut(_sketched(plain))
     texts = hold(rows.where("size > 0").groupBy("id").agg(F.first("keys").alias("keys"), F.count("*").alias("times")))
 
-    def prepare(ids: DataFrame) -> Verify:
+    def prepare(ids: DataFrame) -> Texts:
         # repeats within a task are summed up before whole texts are shuffled
         some = plain.select(F.xxhash64("text").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text"))
         some = hold(some.join(ids, "id", "left_semi"))
@@ -152,9 +161,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
             return short_batches(both).select("a", "b", "ta", "tb").mapInArrow(_aligned, "a long, b long, similarity double").where("similarity > 0")
 
-        return verify
+        def words(few: DataFrame) -> DataFrame:
+            return short_batches(some.join(few, "id", "left_semi").select("id", "text")).mapInArrow(_worded, "id long, tokens array<long>")
+
+        return Texts(ids.select("id", F.lit(0).alias("mark")), lambda x, y: F.lit(True), words, SIMILARITY, verify)
 
-    comp = classes(texts, prepare, SKETCHES)
+    comp = classes(texts, prepare)
     named = rows.join(comp, "id", "left").select("doc", "id", "size", F.coalesce("component", "id").alias("component"))
     least = named.where("size > 0").groupBy("component").agg(F.min("doc").alias("class_id"))
     out = named.join(least, "component", "left").withColumn("class_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc")))

@@ -164,6 +164,39 @@ def test_large_buckets_of_lines_against_all_pairs(spark):
     assert joined >= 0.75 * all_, (joined, all_, pairs)
 
 
+def test_large_buckets_lose_no_line(spark):
+    """400 variants of one line at or beyond the threshold, in buckets of hundreds: all that all pairs join is joined."""
+    r = random.Random(22)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    base = "".join(r.sample(letters, 150))
+    kinds = sorted({scattered(r, base, r.choice([1, 1, 2, 2, 3]), letters) for _ in range(400)} | {base})
+    sets, u = [line_shingles(k) for k in kinds], Union()
+    for a in range(len(kinds)):
+        for b in range(a):
+            if like(sets[a], sets[b], 0.8):
+                u.join(a, b)
+    out = {x.doc: x.component for x in line_dedup.duplicate_lines(table(spark, list(enumerate(kinds)))).collect()}
+    want, got = {}, {}
+    for i in range(len(kinds)):
+        want.setdefault(u.find(i), set()).add(i)
+        got.setdefault(out[i], set()).add(i)
+    joined, all_ = sum(len(c) - 1 for c in got.values()), sum(len(c) - 1 for c in want.values())
+    assert all(len({u.find(i) for i in c}) == 1 for c in got.values()) and all_ > 100 and joined >= 0.99 * all_, (joined, all_)
+
+
+def test_large_buckets_lose_no_document(spark):
+    """150 texts with one long passage, too short for a link; in the other part some are like another that is no neighbour."""
+    r = random.Random(23)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, others = some(120), [some(80) for _ in range(75)]
+    twins = [[w if i % 4 else f"x{r.randrange(10**6)}" for i, w in enumerate(o)] for o in others]  # 20 of 200 words differ, at each fourth place
+    rows = [" ".join(passage + o) for o in others + twins]
+    r.shuffle(rows)
+    truth = near_truth(rows)
+    out = {x.doc: x.class_id for x in order_minhash.near_duplicates(table(spark, list(enumerate(rows)))).collect()}
+    assert len(set(truth)) == 75 and [out[i] for i in range(150)] == truth
+
+
 def test_columns_of_any_name_pass_through(spark):
     rows = [(1, "a line of text that is here twice\nb", 5), (2, "a line of text that is here twice", 6), (3, None, 7)]
     names = ["_doc", "_body", "_drops", "_id", "_had", "key"]
