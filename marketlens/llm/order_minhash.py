@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import tokens
@@ -34,6 +34,8 @@ from marketlens.llm.near import Texts, classes
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
+#: Longs of a map of bits of a text's labelled words.
+WORDS = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -126,13 +128,31 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return short_batches(docs).select("doc", F.xxhash64("text").alias("id"), "text").mapInArrow(run, "doc long, id long, size long, keys array<long>")
 
 
+def parities(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A map of 64 * WORDS bits of each text's labelled words: each turns the bit over that it names. Two maps differ at no more
+    bits than words that one text has alone, however long the texts are."""
+    n, bits = len(begins) - 1, 64 * WORDS
+    at = np.repeat(np.arange(n), np.diff(begins)) * bits + (x % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
 def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tokens): the labelled words of each text. Aligned words are common ones, so linked texts share as many of these."""
+    """(id, size, bits): the number of labelled words of each text, and its map."""
     for b in batches:
         texts = utf8(b.column(1))
         for lo, hi in chunks(texts):
             x, begins = labelled(texts[lo:hi], 1)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(x.view(np.int64)))], names=["id", "tokens"])
+            maps = [np.ascontiguousarray(m) for m in parities(x, begins).T]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(begins).astype(np.int64)), *map(pa.array, maps)], names=["id", "size", *(f"bits{k}" for k in range(WORDS))])
+
+
+def _may_align(x: Column, y: Column) -> Column:
+    """Aligned words are common ones; too many that one text has alone, and the texts needn't be aligned."""
+    apart = F.lit(0)
+    for k in range(WORDS):
+        apart = apart + F.bit_count(x[f"bits{k}"].bitwiseXOR(y[f"bits{k}"]))
+    return apart <= x["size"] + y["size"] - 2 * F.ceil(SIMILARITY * F.greatest(x["size"], y["size"]) - 1e-9)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +182,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             return short_batches(both).select("a", "b", "ta", "tb").mapInArrow(_aligned, "a long, b long, similarity double").where("similarity > 0")
 
         def words(few: DataFrame) -> DataFrame:
-            return short_batches(some.join(few, "id", "left_semi").select("id", "text")).mapInArrow(_worded, "id long, tokens array<long>")
+            return short_batches(some.join(few, "id", "left_semi").select("id", "text")).mapInArrow(_worded, "id long, size long, " + ", ".join(f"bits{k} long" for k in range(WORDS)))
 
-        return Texts(ids.select("id", F.lit(0).alias("mark")), lambda x, y: F.lit(True), words, SIMILARITY, verify)
+        return Texts(ids.select("id", F.lit(0).alias("mark")), lambda x, y: F.lit(True), words, SIMILARITY, verify, _may_align, sure=False)
 
     comp = classes(texts, prepare)
     named = rows.join(comp, "id", "left").select("doc", "id", "size", F.coalesce("component", "id").alias("component"))

@@ -388,3 +388,47 @@ def test_unit_length_takes_time_in_proportion(spark):
         projection_dedup.near_vectors(df).count()
         spent[dim] = time.perf_counter() - began
     assert spent[256] < 5 * spent[64] + 2
+
+
+def test_word_maps_rule_out_no_pair_that_aligns():
+    r = random.Random(5)
+    texts = []
+    for n in (6, 40, 300, 3000):
+        base = [f"w{r.randrange(n // 2)}" for _ in range(n)]
+        for share in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 1.0):
+            texts.append([w if r.random() >= share else f"x{r.randrange(99)}" for w in base])
+            texts.append([w for w in base if r.random() >= share])
+    w, begins = order_minhash.tokens.words([" ".join(t).encode() for t in texts])
+    x, _ = order_minhash.labelled([" ".join(t).encode() for t in texts], 1)
+    maps, size = order_minhash.parities(x, begins), np.diff(begins)
+    out, ruled = 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = int(np.bitwise_count((maps[i] ^ maps[j]).view(np.uint64)).sum())
+            may = apart <= size[i] + size[j] - 2 * np.ceil(0.8 * max(size[i], size[j]) - 1e-9)
+            links = order_minhash.alignment(w[begins[i] : begins[i + 1]], w[begins[j] : begins[j + 1]]) > 0
+            assert may or not links
+            out, ruled = out + links, ruled + (not may)
+    assert out > 20 and ruled > 1000
+
+
+def test_pair_of_many_large_buckets_is_put_out_once(spark):
+    from marketlens.llm import near
+
+    # 80 texts in the same three large buckets, all of different classes; the marks let neighbours through
+    facts = spark.createDataFrame([(i, i + 1, [7, 8, 9]) for i in range(80)], "id long, times long, keys array<long>")
+    asked = []
+
+    def prepare(ids):
+        def verify(pairs):
+            asked.append(sorted((r.a, r.b) for r in pairs.collect()))
+            return pairs.where("b - a = 1 and b < 79")
+
+        tokens = lambda some: some.select("id", F.lit(1).alias("size"), F.col("id").alias("v"))
+        return near.Texts(ids.select("id", F.lit(0).alias("mark")), lambda x, y: F.lit(True), tokens, 1.0, verify, lambda x, y: F.abs(x["v"] - y["v"]) <= 1, sure=False)
+
+    got = {r.id: r.component for r in near.classes(facts, prepare).collect()}
+    assert got == {i: 0 for i in range(79)}
+    assert asked[1] == [(i, i + 1) for i in range(78)]  # 79 is the representative of all and was compared before
+    join = near._apart(spark.createDataFrame([(k, i, i, {"v": i}, 1, [7, 8, 9]) for k in (7, 8, 9) for i in range(5)], "key long, id long, c long, mark struct<v:long>, size int, keys array<long>"), prepare(facts), lambda x, y: F.lit(True))
+    assert join.count() == 10
