@@ -34,8 +34,9 @@ from marketlens.llm.near import Texts, classes
 SHINGLE = 5
 SKETCHES = 16
 SIMILARITY = 0.8
-#: Longs of a map of bits of a text's labelled words.
-WORDS = 16
+#: Longs of a map of bits of a text's labelled words: so many that words of a long text seldom fall together, and few pairs that
+#: don't align pass.
+WORDS = 32
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 

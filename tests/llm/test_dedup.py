@@ -390,6 +390,17 @@ def test_unit_length_takes_time_in_proportion(spark):
     assert spent[256] < 5 * spent[64] + 2
 
 
+def test_word_maps_tell_long_texts_apart_that_are_just_beyond_the_threshold():
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(700)]
+    texts = [" ".join(w if r.random() >= 0.14 else f"x{r.randrange(10**9)}" for w in base).encode() for _ in range(30)]
+    x, begins = order_minhash.labelled(texts, 1)
+    maps = order_minhash.parities(x, begins).view(np.uint64)
+    pairs = [(i, j) for i in range(30) for j in range(i)]
+    passed = sum(int(np.bitwise_count(maps[i] ^ maps[j]).sum()) <= 1400 - 2 * 560 for i, j in pairs)
+    assert passed < len(pairs) / 2  # with maps of 1024 bits most passed, and each was aligned
+
+
 def test_word_maps_rule_out_no_pair_that_aligns():
     r = random.Random(5)
     texts = []
