@@ -14,7 +14,7 @@ from marketlens.registry import query
 
 def keyword_terms(words: DataFrame, limit: int = 8) -> DataFrame:
     """(id, rank, term, confidence): the most frequent words of each text, of equals the one that stands first, from
-    (id, words). Null and empty texts have none. Words are counted before they are shuffled."""
+    (id, words). Null and empty texts have none. Words are counted before they are shuffled, and not shuffled if ``words`` is dealt by id."""
     each = words.select("id", F.posexplode("words").alias("at", "term")).groupBy("id", "term").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "at"))).where(F.col("rank") <= limit)
     return top.select("id", "rank", "term", F.least(F.lit(0.88), 0.72 + F.col("n") * 0.04).alias("confidence"))
@@ -27,8 +27,9 @@ select doc_id as id, rank, term, least(0.88::double, 0.72::double + n * 0.04::do
 from (select *, cast(row_number() over (partition by doc_id order by n desc, pos) as int) as rank from n) where rank <= 8""")
 def keyword_terms_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{2,}"), 0)
-    docs = Lens(spark, sf_dir).table("documents", "doc_id", "text")
-    return keyword_terms(docs.select(F.col("doc_id").alias("id"), F.transform(found, lambda w: F.lower(w)).alias("words")))
+    # texts are less than their words one by one, and are dealt out by id once: counts and ranks are taken where they lie
+    docs = Lens(spark, sf_dir).table("documents", F.col("doc_id").alias("id"), "text").repartition("id")
+    return keyword_terms(docs.select("id", F.transform(found, lambda w: F.lower(w)).alias("words")))
 
 
 #: Letters that stems of different length must share to count as the same word.

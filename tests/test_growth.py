@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from marketlens.operators import profiles
+from marketlens.operators import enrichment, profiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,7 @@ def test_participation_facts_take_one_shuffle_and_keep_lines_without_an_act(spar
     members = [("CONSORTIUM_MEMBER", "7", p) for p in ("None", "S1", "S2", "S3")]
     winners = [("WINNER", "7", p) for p in ("None", "S1", "S2", "S3")] + [("WINNER", "8", "S5")] + [("WINNER", "None", f"S{k}") for k in range(1, 5)]
     assert got == sorted(members + winners)
+
+
+def test_keyword_terms_shuffle_texts_and_not_words(spark):
+    assert plan(enrichment.keyword_terms_query(spark, SF)).count("Exchange hashpartitioning") == 1
