@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import text as T
 from marketlens.lens import Lens, sql
 from marketlens.registry import query
+from marketlens.session import checkpoint_folder
 
 QUERY = ("the", "estion")
 
@@ -48,10 +50,17 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def bm25(docs: DataFrame, terms: tuple[str, ...], k1: float = 1.2, b: float = 0.75, limit: int = 20) -> DataFrame:
-    """Best documents for some terms. Only postings of the terms are kept before anything is shuffled."""
-    t = docs.select("doc_id", T.tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.filter("ts", lambda x: x.isin(*terms)).alias("hits"))
+    """Best documents for some terms. Each text is read once, into its number of words and the counts of the terms; words are
+    counted by the spaces between them, without a list of them. These few numbers a text are stored, as they are read twice."""
+    s = F.trim(T.normalize_lexical(F.col("text")))
+    n = F.when(s == "", 0).otherwise(F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "))) + 1)
+    apart = F.concat(F.lit(" "), F.replace(s, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
+    known = [w for w in dict.fromkeys(terms) if re.fullmatch("[a-z0-9α-ω]+", w)]  # nothing else is a word of a text
+    found = F.array(*(F.struct(F.lit(w).alias("token"), ((F.octet_length("apart") - F.octet_length(F.replace("apart", F.lit(f" {w} ")))) / (len(w.encode()) + 2)).cast("long").alias("k")) for w in known)).cast("array<struct<token:string,k:bigint>>")
+    checkpoint_folder(docs.sparkSession)
+    t = docs.select("doc_id", n.alias("n"), apart.alias("apart")).select("doc_id", "n", F.filter(found, lambda x: x["k"] > 0).alias("hits")).checkpoint()
     stats = t.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    tf = t.select("doc_id", "n", F.explode("hits").alias("token")).groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf"))
+    tf = t.select("doc_id", "n", F.inline("hits")).groupBy("doc_id", "n", "token").agg(F.sum("k").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))  # a row for each term
     s = tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

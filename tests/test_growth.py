@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from marketlens.operators import enrichment, profiles
+from marketlens.operators import enrichment, profiles, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +27,23 @@ def test_participation_facts_take_one_shuffle_and_keep_lines_without_an_act(spar
 
 def test_keyword_terms_shuffle_texts_and_not_words(spark):
     assert plan(enrichment.keyword_terms_query(spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_bm25_reads_texts_once(spark):
+    docs = spark.createDataFrame([(1, "The the, a THE  cat"), (1, "the cat sat on it"), (2, "other"), (3, ""), (4, None), (5, "  the\tthe.the the"), (6, "ΆΛΦΑ the άλφα the")], "doc_id long, text string")
+    best = search.bm25(docs, ("the", "cat", "αλφα", "a b", "", "the"))
+    assert plan(best).count("regexp_replace") == 0  # what is stored has no texts any more
+    # as by lists of words, which were made twice
+    words = {1: [["the", "the", "a", "the", "cat"], ["the", "cat", "sat", "on", "it"]], 2: [["other"]], 3: [[]], 5: [["the"] * 4], 6: [["αλφα", "the", "αλφα", "the"]]}
+    rows = [(d, ws) for d, each in words.items() for ws in each]
+    mean, tf = sum(len(ws) for _, ws in rows) / len(rows), {}
+    for d, ws in rows:
+        for w in {"the", "cat", "αλφα"} & set(ws):
+            tf[d, len(ws), w] = tf.get((d, len(ws), w), 0) + ws.count(w)
+    import math
+
+    want = {}
+    for (d, n, w), k in tf.items():
+        df = sum(x[2] == w for x in tf)
+        want[d] = want.get(d, 0) + math.log(1 + (7 - df + 0.5) / (df + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * n / mean))
+    assert {r.doc_id: r.score for r in best.collect()} == {d: round(x, 6) for d, x in want.items()}
