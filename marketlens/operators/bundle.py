@@ -3,12 +3,15 @@ its documents, and the sentences that speak for a group of texts."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.lens import MONEY, Lens, sql
 from marketlens.operators.chain import typed_acts
 from marketlens.registry import query
+from marketlens.session import checkpoint_folder, shared_folder
 
 # Kinds of act in order of what best stands for a process, and what a summary calls them.
 LABELS = {
@@ -85,20 +88,26 @@ def key_sentences(texts: DataFrame, group: str, doc: str, text: str = "text", k:
     over its distinct words of four letters and more, of the share of the group's candidates that hold the word. Ties go to the
     first by document and place; sentences without such a word, null and empty texts give nothing.
 
-    Words are counted by (group, word), so a large group is spread over its words; sentences themselves don't travel with them, and
-    the best of each group are cut out before the last shuffle."""
+    Words are counted by (group, word), so a large group is spread over its words; sentences themselves don't travel with them.
+    Texts are cut once, into the words of their sentences, which are stored as they are read three times; only the documents of
+    the best are cut again."""
     pieces = F.transform(F.split(F.regexp_replace(text, r"([.;!?])\s+", "$1\n"), "\n"), lambda s: F.trim(s))
     fits = lambda x: F.char_length(x["s"]).between(shortest, longest)
-    s = texts.select(F.col(group).alias("g"), F.col(doc).alias("d"), F.inline(F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("place"), s.alias("s"))), fits)))
+    cut = lambda df: df.select(F.col(group).alias("g"), F.col(doc).alias("d"), F.inline(F.filter(F.transform(pieces, lambda s, i: F.struct(i.alias("place"), s.alias("s"))), fits)))
     ws = F.array_distinct(F.filter(F.split(F.lower("s"), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 4))
-    s = s.withColumn("ws", ws).where(F.size("ws") > 0)
+    stored = f"{shared_folder(texts.sparkSession)}/sentences-{uuid.uuid4().hex}"
+    cut(texts).select("g", "d", "place", ws.alias("ws")).where(F.size("ws") > 0).write.parquet(stored)
+    s = texts.sparkSession.read.parquet(stored)
     each = s.select("g", "d", "place", F.explode("ws").alias("w"), F.size("ws").alias("m"))
     held = each.groupBy("g", "w").agg(F.count("*").alias("held"))
     n = s.groupBy("g").agg(F.count("*").alias("n"))
     total = each.join(held, ["g", "w"]).groupBy("g", "d", "place").agg((F.sum("held") / F.max("m")).alias("weight"))
     w = Window.partitionBy("g").orderBy(F.desc("weight"), "d", "place")
     best = total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(n, "g")
-    best = best.join(s.select("g", "d", "place", "s"), ["g", "d", "place"])
+    checkpoint_folder(texts.sparkSession)
+    best = best.checkpoint()  # a few rows a group
+    few = texts.join(best.select(F.col("d").alias(doc)).distinct(), doc, "left_semi")
+    best = best.join(cut(few), ["g", "d", "place"])
     return best.select(F.col("g").alias(group), "rank", F.col("d").alias(doc), "place", (F.col("weight") / F.col("n")).alias("score"), F.col("s").alias("sentence"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 
-from marketlens.operators import enrichment, profiles, search
+from pyspark.sql import functions as F
+
+from marketlens.operators import bundle, enrichment, profiles, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +49,11 @@ def test_bm25_reads_texts_once(spark):
         df = sum(x[2] == w for x in tf)
         want[d] = want.get(d, 0) + math.log(1 + (7 - df + 0.5) / (df + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * n / mean))
     assert {r.doc_id: r.score for r in best.collect()} == {d: round(x, 6) for d, x in want.items()}
+
+
+def test_key_sentences_cut_each_text_once(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    before = spark.sparkContext.accumulator(0)
+    counted = d.where(F.udf(lambda t: before.add(1) or True, "boolean").asNondeterministic()("text"))
+    assert bundle.key_sentences(counted, "source", "doc_id").count() > 0
+    assert before.value <= 2 * d.count()  # to find the best, and to get the documents of these; five times before
