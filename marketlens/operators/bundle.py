@@ -123,7 +123,7 @@ def tender_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     buyer = lens.table("customer", F.col("c_custkey").alias("buyer_id"), F.col("c_name").alias("buyer_name"))
     c = no(lens.acts.join(buyer, "buyer_id", "left").join(lens.primary.select("act_id", "title"), "act_id", "left"), "process_id", "act_type", "title", "buyer_name", F.col("amount_net").alias("amount"), F.lit("EUR").alias("currency"), F.col("event_date").alias("deadline"), "procedure_type", F.col("event_date").alias("day"))
     none = lambda t: F.lit(None).cast(t)
-    paid = typed_acts(lens).where("act_type = 'PAYMENT'")
+    paid = typed_acts(lens, paid_only=True)
     # a payment without a title, a buyer or an amount of its own; lines with the same key are told apart by day and eligibility
     paid = paid.select(F.concat_ws("-", "act_id", F.col("decision_date").cast("string"), F.col("eligible").cast("string")).alias("act_id"), "process_id", "act_type", none("string").alias("title"), none("string").alias("buyer_name"), none(MONEY).alias("amount"), none("string").alias("currency"), none("date").alias("deadline"), none("string").alias("procedure_type"), F.col("decision_date").alias("day"))
     docs = lens.table("documents", F.col("doc_id").alias("document_id"), F.concat(F.lit("C-"), F.col("doc_id").cast("string")).alias("act_id"), F.col("source").alias("title"))

@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import bundle, enrichment, profiles, search
+from marketlens.lens import Lens
+from marketlens.operators import bundle, chain, enrichment, profiles, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,10 @@ def test_key_sentences_cut_each_text_once(spark):
     counted = d.where(F.udf(lambda t: before.add(1) or True, "boolean").asNondeterministic()("text"))
     assert bundle.key_sentences(counted, "source", "doc_id").count() > 0
     assert before.value <= 2 * d.count()  # to find the best, and to get the documents of these; five times before
+
+
+def test_typed_acts_tell_repeats_apart_before_they_are_texts(spark):
+    acts = chain.typed_acts(Lens(spark, SF))
+    assert "hashpartitioning(l_orderkey" in plan(acts) and "hashpartitioning(act_id" not in plan(acts)
+    paid = acts.where("act_type = 'PAYMENT'")
+    assert sorted(map(str, paid.collect())) == sorted(map(str, chain.typed_acts(Lens(spark, SF), paid_only=True).collect()))
