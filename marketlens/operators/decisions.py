@@ -2,8 +2,9 @@
 
 Pairs come from keys, never from crossing two tables: organisations meet by a word that both labels have (as a search for
 the label would find them), titles within a pair of organisations by a word of theirs. Equal (organisation, title) texts are
-one row with a count beforehand, so a title that thousands of acts repeat costs one comparison. What is left goes through
-bounds by length and common subsequences before the exact search for matching blocks.
+one row with a count beforehand, so a title that thousands of acts repeat costs one comparison. Titles of an organisation that have
+a word meet as lists of bounded length; their pairs go through a bound by common subsequences, many at once, before the exact
+search for matching blocks, and only like ones become rows.
 """
 
 from __future__ import annotations
@@ -41,11 +42,21 @@ def by_search(acts: DataFrame, decisions: DataFrame) -> DataFrame:
     d = decisions.groupBy("organisation", "title").agg(F.count(F.lit(1)).alias("n"), F.min("decision_id").alias("decision_id"))
     q = acts.select("organisation", "title").where("organisation is not null and title is not null").distinct()
     pairs = organisations(decisions, acts)
-    x = d.select(F.col("organisation").alias("left"), F.col("title").alias("t"), "n", "decision_id").withColumn("w", F.explode(_words(F.col("t"))))
-    y = q.select(F.col("organisation").alias("right"), F.col("title").alias("u")).withColumn("w", F.explode(_words(F.col("u"))))
-    near = x.join(pairs, "left").join(y, ["right", "w"]).select("left", "right", "t", "u", "n", "decision_id").distinct()
-    like = likeness.like_pairs(near, [("t", "u", TITLE)]).withColumnRenamed("like_0", "title_likeness")
-    best = like.groupBy(F.col("right").alias("organisation"), F.col("u").alias("title")).agg(F.sum("n").alias("n"), F.min(F.struct("decision_id", "left", "title_likeness")).alias("d")).where("n = 1")
+    # titles of an organisation that have a word meet as lists, so that pairs are never rows
+    parts = max(int(acts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * acts.sparkSession.sparkContext.defaultParallelism)
+
+    def lists(df: DataFrame, side: str, name: str, *more: str) -> DataFrame:
+        said = df.where("title <> '' and organisation is not null").withColumns({"text": likeness.normal(F.col("title")), "words": _words(F.col("title"))})
+        each = said.withColumn("word", F.explode("words"))
+        n = each.groupBy("organisation", "word").agg(F.ceil(F.count("*") / likeness.CHUNK).alias("lists"))
+        each = each.join(n, ["organisation", "word"]).withColumn("part", F.pmod(F.xxhash64("title"), F.col("lists")))
+        each = each.select(F.col("organisation").alias(side), "word", F.col("part").alias(f"part_{side}"), F.struct("text", "words", "title", *more).alias("m"))
+        return each.groupBy(side, "word", f"part_{side}").agg(F.collect_list("m").alias(name))
+
+    rows = lists(d, "left", "xs", "n", "decision_id").join(pairs, "left").join(lists(q, "right", "ys"), ["right", "word"])
+    rows = rows.repartition(parts, "left", "right", "word", "part_left", "part_right").select(F.struct("left", "right").alias("key"), "word", "xs", "ys")
+    like = likeness.like_lists(rows, TITLE, enough=2)  # two, and the act stays unlinked
+    best = like.groupBy(F.col("key.right").alias("organisation"), F.col("y.title").alias("title")).agg(F.sum("x.n").alias("n"), F.min(F.struct("x.decision_id", "key.left", F.col("like").alias("title_likeness"))).alias("d")).where("n = 1")
     best = best.withColumn("organisation_likeness", likeness.similarity(F.col("d.left"), F.col("organisation")))
     out = acts.join(best, ["organisation", "title"])
     return out.select("act_id", F.col("d.decision_id").alias("decision_id"), "organisation_likeness", F.col("d.title_likeness").alias("title_likeness"), F.lit(SEARCH_SURE).alias("confidence"))
