@@ -11,6 +11,7 @@ from marketlens.functions.text import set_similarity, trigrams
 from marketlens.lens import Lens, sql, today
 from marketlens.operators import lifecycle, market
 from marketlens.registry import query
+from marketlens.session import cut
 
 #: Procurement thresholds in EUR.
 THRESHOLDS = (30000, 60000, 140000, 221000, 443000, 5382000)
@@ -148,8 +149,12 @@ def fragmentation(lens: Lens, days: int = 30, pieces: int = 3, similarity: float
     """Contracts of one buyer within a window of days, each below a threshold, related by market or title, that pass it
     together; one row for each buyer and set of contracts (the least threshold). The range join is cut into buckets of the
     window's length: a seed meets its own bucket and the next, so a buyer's whole history is never paired."""
-    a = lens.acts.where("amount_net > 0").join(lens.primary, "act_id").select("act_id", "buyer_id", "event_date", F.col("amount_net").alias("v"), "cpv_prefix", trigrams(F.col("title")).alias("g"), F.floor(F.unix_date("event_date") / days).alias("bucket"))
-    m = a.select(F.col("act_id").alias("m_id"), F.col("buyer_id").alias("m_buyer"), F.col("event_date").alias("m_date"), F.col("v").alias("m_v"), F.col("cpv_prefix").alias("m_prefix"), F.col("g").alias("m_g"), F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("m_bucket"))
+    a = lens.acts.where("amount_net > 0").join(lens.primary, "act_id").select("act_id", "buyer_id", "event_date", F.col("amount_net").alias("v"), "cpv_prefix", "title", F.floor(F.unix_date("event_date") / days).alias("bucket"))
+    # both sides are dealt out before titles become sets of trigrams, which are many times as long
+    set_of = lambda df: df.withColumn("g", trigrams(F.col("title"))).drop("title")
+    m = a.withColumn("b", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))).drop("bucket").withColumnRenamed("b", "bucket").repartition("buyer_id", "bucket")
+    a, m = set_of(a.repartition("buyer_id", "bucket")), set_of(m)
+    m = m.select(F.col("act_id").alias("m_id"), F.col("buyer_id").alias("m_buyer"), F.col("event_date").alias("m_date"), F.col("v").alias("m_v"), F.col("cpv_prefix").alias("m_prefix"), F.col("g").alias("m_g"), F.col("bucket").alias("m_bucket"))
     on = (F.col("buyer_id") == F.col("m_buyer")) & (F.col("bucket") == F.col("m_bucket")) & F.col("m_date").between(F.col("event_date"), F.date_add("event_date", days)) & ((F.col("cpv_prefix") == F.col("m_prefix")) | (set_similarity(F.col("g"), F.col("m_g")) >= similarity))
     pairs = a.join(m, on).select("act_id", "buyer_id", "v", "m_id", "m_v", F.explode(F.array(*(F.lit(t) for t in THRESHOLDS))).alias("threshold")).where("v < threshold and m_v < threshold")
     c = pairs.groupBy("act_id", "buyer_id", "threshold").agg(F.count("*").alias("n"), F.sum("m_v").alias("total"), F.array_join(F.array_sort(F.collect_set("m_id")).cast("array<string>"), ",").alias("ids")).where((F.col("n") >= pieces) & (F.col("total") >= F.col("threshold")))
@@ -204,6 +209,7 @@ for _name, (_f, _oracle) in INDICATORS.items():
 
 @query("risk_all", " union all by name ".join(f"(select * from ({o}))" for _, o in INDICATORS.values()))
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All indicators in one frame, in a fixed order of their union."""
+    """All indicators in one frame, in a fixed order of their union. They are worked out one after the other, so that the disks
+    hold what one of them shuffles, and not what all do."""
     lens = Lens(spark, sf_dir)
-    return reduce(DataFrame.unionByName, (f(lens, **LOOSER.get(k, {})) for k, (f, _) in INDICATORS.items()))
+    return reduce(DataFrame.unionByName, (cut(f(lens, **LOOSER.get(k, {}))) for k, (f, _) in INDICATORS.items()))

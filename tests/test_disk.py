@@ -25,3 +25,14 @@ def test_checkpoints_of_entities_leave_no_shuffle_files(spark, name):
         time.sleep(0.2)
     assert not shuffled(spark) - before
     assert df.columns
+
+
+def test_indicators_are_worked_out_one_after_the_other(spark):
+    """Their union has nothing to shuffle any more, and no shuffle files of any are left."""
+    before = shuffled(spark)
+    df = catalogue.queries()["risk_all"](spark, SF)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    deadline = time.time() + 15
+    while shuffled(spark) - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled(spark) - before
