@@ -36,3 +36,10 @@ def test_indicators_are_worked_out_one_after_the_other(spark):
     while shuffled(spark) - before and time.time() < deadline:
         time.sleep(0.2)
     assert not shuffled(spark) - before
+
+
+def test_parts_of_a_process_meet_before_lists_are_begun(spark):
+    """Lists that are begun before the shuffle are of one item each: they are sorted, written and merged for nothing."""
+    plan = catalogue.queries()["process_360_view"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    begun = plan[plan.index("partial_collect_list") :]
+    assert "REPARTITION_BY_COL" in begun.split("Exchange", 2)[1]
